@@ -105,6 +105,8 @@ def _intersect(phrase: tuple[bytes, ...], order: list[int], lists) -> np.ndarray
         if not len(at):
             break
         other = lists(phrase[k])
+        if not len(other):
+            return other
         i = np.searchsorted(other, at + k)
         i[i == len(other)] = 0
         at = at[other[i] == at + k]
