@@ -1,102 +1,116 @@
-"""Whole-text encoding by public tokenizer files, with a bounded memo of chunks.
-
-A chunk is a run of blanks and the run of other characters after it. Pre-tokenizers
-of the supported kinds never put characters on both sides of such a boundary into one
-piece, so a text's ids are its chunks' ids in order, and frequent chunks are encoded
-once a worker. Texts with other white space, control characters or the strings of
-special tokens are encoded directly, without the memo. Either way the ids are those of
+"""Whole-text encoding by public tokenizer files, with a bounded memo of words.
+
+A tokenizer of the tokenizers library first cuts a text into pieces by a pattern and
+then encodes each piece by its model, so a piece's ids don't depend on its neighbours.
+For files whose pattern is one of two known ones, and texts in Latin script without rare
+white space or control characters, the same cut is made here and the library's model is
+asked once for each piece that the memo doesn't hold. All other files and texts go
+through the library's `encode_batch` as they are. Either way the ids are those of
 `Tokenizer.encode(text, add_special_tokens=False)`.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-_CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: White space other than blank, tab and line ends, and control characters near it.
-_BLANKS = [0, 0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
-_ODD = re.compile("[" + "".join(map(chr, _BLANKS)) + r"]|<\|")
-_encoders: dict[tuple[str, int], "Encoder"] = {}
+#: Texts of these characters only are cut here: ASCII without controls but tab and line
+#: ends, Latin-1, Latin Extended-A and -B but the dotted capital I, and common punctuation.
+_PLAIN = re.compile("[\t\n\r -~¡-įı-ɏ–—‘’“”…€]*")
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_DIGIT = "0-9²³¹¼½¾"
+_SPACE = r"\t\n\r "
+_SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
+_CUT = {
+    "byte": re.compile(rf"{_SUFFIX}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"),
+    "word": re.compile(rf"{_SUFFIX}|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+"),
+}
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level models write for each byte: itself if printable in
+    Latin-1, else the next from 256 on."""
+    out, free = {}, 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b:
+            out[b] = chr(b)
+        else:
+            out[b], free = chr(free), free + 1
+    return out
+
+
+_BYTES = _byte_characters()
+
+
+def _kind(spec: dict) -> str | None:
+    """Which of the known cuts the file makes."""
+    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    if spec["model"].get("type") != "BPE" or spec["model"].get("dropout") or spec["model"].get("continuing_subword_prefix"):
+        return None
+    if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
+        return "byte"
+    steps = pre.get("pretokenizers") or []
+    shape = [s.get("type") for s in steps] == ["Split", "ByteLevel"] and not steps[1].get("use_regex", True) and not steps[1].get("add_prefix_space")
+    pattern = shape and steps[0]["pattern"].get("Regex") == _SUFFIX + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
+    if pattern and [n.get("type") for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+        return "word"
+    return None
+
+
+class _Memo(dict):
+    """piece -> ids as little-endian uint32 bytes; asks the library's model when it misses."""
+
+    def __init__(self, model, longest: int = 48):
+        super().__init__()
+        self.model, self.longest = model, longest
+
+    def __missing__(self, piece: str) -> bytes:
+        written = "".join(map(_BYTES.__getitem__, piece.encode()))
+        ids = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        if len(piece) <= self.longest:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian uint32 bytes.
-
-    max_chunks bounds the memo; when full, only the chunks
-    of the texts at hand stay. Chunks longer than
-    max_chunk characters are never kept.
-    """
+    """encode(texts) gives each text's ids as little-endian uint32 bytes. The memo is
+    emptied when it holds more than `pieces`."""
 
-    def __init__(self, path: str, max_chunks: int = 500_000, max_chunk: int = 64):
+    def __init__(self, path: str, pieces: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.max_chunks, self.max_chunk = max_chunks, max_chunk
-        self.memo: dict[str, bytes] = {}
-        self.mark = None
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-
-        self.mark = next((m for m in ("\0", " \0 ") if self._parts(m)), None)
-
-    def _parts(self, mark: str) -> bool:
-        """Whether mark between chunks always gives an id of its own and changes no other."""
-        if any("\u0100" in token and len(token.replace("</w>", "")) > 1 for token in self.tokenizer.get_vocab()):
-            return False
-        tries = ["a", " b.", "...", "'", " 's", "7", ",x", " -", "é", "\n\n end", "a's'", "!!", " 12"]
-        whole = self.tokenizer.encode(mark.join(tries), add_special_tokens=False).ids
-        self.mark_id = self.tokenizer.encode("\0", add_special_tokens=False).ids[-1]
-        want: list[int] = []
-        for k, ids in enumerate(self.direct(tries)):
-            want += [self.mark_id] * (k > 0) + np.frombuffer(ids, "<u4").tolist()
-        return whole == want
-
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        """As direct() for chunks that hold no NUL and end in no blank: one call with marks between them."""
-        if self.mark is None:
-            return self.direct(chunks)
-        ids = np.array(self.tokenizer.encode(self.mark.join(chunks), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(ids == self.mark_id).tolist()
-        if len(at) != len(chunks) - 1:
-            return self.direct(chunks)
-        data = ids.tobytes()
-        return [data[4 * a + 4 : 4 * b] for a, b in zip([-1, *at], [*at, len(ids)], strict=True)]
+        spec = json.loads(self.tokenizer.to_str())
+        self.kind = _kind(spec)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.memo, self.pieces = _Memo(self.tokenizer.model), pieces
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, chunks, tail = [b""] * len(texts), {}, {}
-        for i, text in enumerate(texts):
-            if _ODD.search(text):
-                out[i] = self.direct([text])[0]
-            elif text:
-                chunks[i] = _CHUNK.findall(text)
-                if chunks[i][-1].isspace():  # where white space ends a text
-                    tail[i] = self.direct([chunks[i].pop()])[0]
-        seen: set[str] = set()
-        for c in chunks.values():
-            seen.update(c)
-        if len(self.memo) > self.max_chunks:
-            self.memo = {c: self.memo[c] for c in seen if c in self.memo}
-        memo = self.memo
-        new = seen.difference(memo)
-        fresh = list(new)
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for chunk, ids in zip(part, self.chunks(part), strict=True):
-                (memo if len(chunk) <= self.max_chunk else extra)[chunk] = ids
-        for i, c in chunks.items():
-            out[i] = b"".join([memo[x] if x in memo else extra[x] for x in c] if extra else map(memo.__getitem__, c)) + tail.get(i, b"")
+        if self.kind is None:
+            return self.direct(texts)
+        out, cut, get = [], _CUT[self.kind].findall, self.memo.__getitem__
+        for text in texts:
+            if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                out.append(b"".join(map(get, cut(text if self.kind == "byte" else text.lower()))))
+                if len(self.memo) > self.pieces:
+                    self.memo.clear()
+            else:
+                out += self.direct([text])
         return out
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for this file, loaded once a process."""
     if (key := (path, os.getpid())) not in _encoders:
@@ -104,15 +118,9 @@ def encoder(path: str) -> Encoder:
     return _encoders[key]
 
 
-def encoded(batches, path: str, id_column: str = "doc_id", text_column: str = "text", group_chars: int = 500_000):
-    """From Arrow batches: (doc_id, ids as bytes) of each row in order, some texts at a time."""
-    enc, ids, texts, chars = encoder(path), [], [], 0
+def encoded(batches, path: str, id_column: str = "doc_id", text_column: str = "text"):
+    """From Arrow batches: (doc_id, ids as bytes) of each row in order. Null text is empty."""
+    enc = encoder(path)
     for batch in batches:
-        for doc_id, text in zip(batch.column(id_column).to_pylist(), batch.column(text_column).to_pylist(), strict=True):
-            ids.append(doc_id)
-            texts.append(text or "")
-            chars += len(texts[-1])
-            if chars >= group_chars:
-                yield from zip(ids, enc.encode(texts), strict=True)
-                ids, texts, chars = [], [], 0
-    yield from zip(ids, enc.encode(texts), strict=True)
+        for doc_id, text in zip(batch.column(id_column), batch.column(text_column), strict=True):
+            yield doc_id.as_py(), enc.encode([text.as_py() or ""])[0]

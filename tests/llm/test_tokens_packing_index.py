@@ -23,7 +23,7 @@ def odd_docs(spark):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_memo_encodes_as_the_library(name):
-    e = Encoder(public_tokenizers.path(name), max_chunks=50)
+    e = Encoder(public_tokenizers.path(name), pieces=50)
     texts = [t or "" for t in ODD] * 2
     for _ in range(2):
         want = [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
