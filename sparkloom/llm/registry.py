@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, repair
+from . import decontaminate, html_text, langid, lines, near_duplicates, neighbours, packing, repair, sharding, toxicity
 from .common import read_table
 
 
@@ -23,18 +23,54 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.packed_documents(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.grouped(read_table(spark, sf_dir, "documents"))
+
+
 def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.written(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(read_table(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read_table(spark, sf_dir, "pages"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_neighbours": op2_neighbours,
     "op3_packing": op3_packing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_repair": op5_repair,
+    "op6_toxicity": op6_toxicity,
+    "op7_lines": op7_lines,
+    "op8_language": op8_language,
+    "op9_main_text": op9_main_text,
+    "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
