@@ -71,6 +71,15 @@ def bounded_sample(df: DataFrame, n: int, seed: int = 17) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
 
 
+def joined_ids(rows: DataFrame, ids: DataFrame, how: str, column: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """rows with (left_semi) or without (left_anti) the ids (column _id, distinct, no null).
+    Up to `most` ids are broadcast, so the rows stay where they are; more are joined by a
+    shuffle."""
+    ids = stored(ids, "ids")
+    small = ids.count() <= most
+    return rows.join(F.broadcast(ids) if small else ids, F.col(column) == F.col("_id"), how)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer on uint64 arrays (wraps on purpose)."""
     x = x.astype(np.uint64, copy=True)

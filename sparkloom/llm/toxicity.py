@@ -108,8 +108,8 @@ def word_scores(words: list[str], table: np.ndarray) -> np.ndarray:
     for n in np.unique(lengths).tolist():
         if n >= 3:
             at = np.flatnonzero(lengths == n)
-            for lo in range(0, len(at), 4096):
-                part = at[lo : lo + 4096]
+            for lo in range(0, len(at), 1024):
+                part = at[lo : lo + 1024]
                 code, w = features([flat[i] for i in part.tolist()], n)
                 got[part] = (table[code] * w).sum(1)
     out = np.full(len(words), -np.inf)
@@ -121,7 +121,7 @@ def dense(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised features of words up to LONGEST as triplets: row, code, weight."""
     rows, codes, weights = [], [], []
     lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths[lengths >= 3]).tolist():
+    for n in np.unique(lengths[lengths >= 3]).tolist() if len(words) else ():
         at = np.flatnonzero(lengths == n)
         code, w = features([words[i] for i in at.tolist()], n)
         i, j = np.nonzero(w)
@@ -133,16 +133,18 @@ def dense(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(xs: list[str], ys: list[str]) -> np.ndarray:
     """The normalised kernel of all pairs."""
-    (ri, ci, wi), (rj, cj, wj) = dense(xs), dense(ys)
-    used, inverse = np.unique(np.concatenate([ci, cj]).astype(np.int64), return_inverse=True)
+    rj, cj, wj = dense(ys)
+    used, column = np.unique(cj.astype(np.int64), return_inverse=True)
     y = np.zeros((len(ys), len(used)), np.float32)
-    y[rj, inverse[len(ci) :]] = wj
-    out = np.zeros((len(xs), len(ys)))
-    for lo in range(0, len(xs), 2048):
-        pick = (ri >= lo) & (ri < lo + 2048)
-        x = np.zeros((min(2048, len(xs) - lo), len(used)), np.float32)
-        x[ri[pick] - lo, inverse[: len(ci)][pick]] = wi[pick]
-        out[lo : lo + 2048] = x @ y.T
+    y[rj, column] = wj
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for lo in range(0, len(xs), 512):
+        ri, ci, wi = dense(xs[lo : lo + 512])
+        at = np.minimum(np.searchsorted(used, ci), max(0, len(used) - 1))
+        held = used[at] == ci if len(used) else np.zeros(len(ci), bool)
+        x = np.zeros((len(xs[lo : lo + 512]), len(used)), np.float32)
+        x[ri[held], at[held]] = wi[held]
+        out[lo : lo + 512] = x @ y.T
     return out
 
 
@@ -203,11 +205,12 @@ def hash_of(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
-def fit(labelled: DataFrame, per_class: int = 3000, landmarks: int = 256, negatives: int = 12_000, rounds: int = 3) -> Model | None:
-    """From labelled (doc_id, text, toxic 0/1); null labels and texts don't count. Without
-    rows of both classes the result is None. Copies of a text count once."""
-    usable = labelled.select("doc_id", "text", "toxic").filter("toxic IS NOT NULL AND text IS NOT NULL")
-    rows = [(r["doc_id"], r["text"], y) for y in (0, 1) for r in sorted(bounded_sample(usable.filter(F.col("toxic") == y), per_class).collect())]
+def fit(labelled: DataFrame, landmarks: int = 256, negatives: int = 12_000, rounds: int = 3) -> Model | None:
+    """From labelled (doc_id, text, toxic 0/1), a bounded sample that comes to the driver;
+    null labels and texts don't count. Without rows of both classes the result is None.
+    Copies of a text count once."""
+    usable = labelled.select("doc_id", "text", "toxic").filter("toxic IN (0, 1) AND text IS NOT NULL")
+    rows = [tuple(r) for r in sorted(usable.collect(), key=lambda r: (r["toxic"], r["doc_id"], r["text"]))]
     own, kept = set(), []
     for (_, text, y), group in zip(rows, _copies([r[1] for r in rows]), strict=True):
         if (group, y) not in own:
@@ -303,10 +306,32 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, score double")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, **options) -> Model | None:
-    """The model of the labelled rows that are not held out."""
-    marks = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
-    return fit(docs.select("doc_id", "text").join(marks, "doc_id"), **options)
+def keep_below(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
+    """The rows of docs, all columns, whose own text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        memo: dict[str, float] = {}
+        for batch in batches:
+            good = np.ones(batch.num_rows, bool)
+            texts = batch.column("text")
+            for lo in range(0, batch.num_rows, 128) if shared.value is not None else ():
+                m = shared.value
+                good[lo : lo + 128] = m.probability(_measures(texts.slice(lo, 128).to_pylist(), m.table, m.bias, memo)) < threshold
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 3000, **options) -> Model | None:
+    """The model of labelled rows that are not held out: of each class those `per_class`
+    labels with the smallest hashes of doc_id. Only their ids are broadcast and only
+    their texts leave the documents' place."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL").filter(~held_out()).distinct()
+    sample = [bounded_sample(marks.filter(F.col("toxic") == y), per_class) for y in (0, 1)]
+    chosen = F.broadcast(sample[0].unionByName(sample[1]).withColumnRenamed("doc_id", "_id"))
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
+    return fit(rows.groupBy("doc_id", "toxic").agg(F.first("text").alias("text")), **options)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
