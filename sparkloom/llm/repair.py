@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import stored
 from .tokens import encoded
 
 BLOCK_SCHEMA = (
@@ -137,7 +137,7 @@ class Block:
         return self.ids(int(self.doc_ends[k - 1]) if k else 0, int(self.doc_ends[k]))
 
 
-def blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 1_000_000, rounds: int = 8) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 500_000, rounds: int = 8) -> DataFrame:
     """The blocks of docs (doc_id, text), in shards by ranges of doc_id.
 
     Null text counts as empty: the end id alone. A null doc_id is stored as the smallest
@@ -211,6 +211,3 @@ def documents(files: DataFrame) -> DataFrame:
 def written(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the files in the shared folder and gives the documents read back from them."""
     return documents(stored(blocks(docs, tokenizer), "repair"))
-
-
-__all__ = ["BLOCK_SCHEMA", "Block", "blocks", "compress", "documents", "shared_dir", "write", "written"]

@@ -20,6 +20,8 @@ import numpy as np
 #: Texts of these characters only are cut here: ASCII without controls but tab and line
 #: ends, Latin-1, Latin Extended-A and -B but the dotted capital I, and common punctuation.
 _PLAIN = re.compile("[\t\n\r -~¡-įı-ɏ–—‘’“”…€]*")
+#: In ASCII texts, what is left without these bytes must be nothing.
+_ASCII = bytes([9, 10, 13, *range(32, 127)])
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGIT = "0-9²³¹¼½¾"
 _SPACE = r"\t\n\r "
@@ -79,7 +81,7 @@ class Encoder:
     """encode(texts) gives each text's ids as little-endian uint32 bytes. The memo is
     emptied when it holds more than `pieces`."""
 
-    def __init__(self, path: str, pieces: int = 250_000):
+    def __init__(self, path: str, pieces: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,7 +101,8 @@ class Encoder:
             return self.direct(texts)
         out, cut, get = [], _CUT[self.kind].findall, self.memo.__getitem__
         for text in texts:
-            if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            plain = not text.encode().translate(None, _ASCII) if text.isascii() else _PLAIN.fullmatch(text)
+            if plain and not any(s in text for s in self.special):
                 out.append(b"".join(map(get, cut(text if self.kind == "byte" else text.lower()))))
                 if len(self.memo) > self.pieces:
                     self.memo.clear()
