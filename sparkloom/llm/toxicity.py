@@ -20,6 +20,7 @@ hashes of doc_id. Scoring covers all words of whole texts of all rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -108,8 +109,8 @@ def word_scores(words: list[str], table: np.ndarray) -> np.ndarray:
     for n in np.unique(lengths).tolist():
         if n >= 3:
             at = np.flatnonzero(lengths == n)
-            for lo in range(0, len(at), 1024):
-                part = at[lo : lo + 1024]
+            for lo in range(0, len(at), 512):
+                part = at[lo : lo + 512]
                 code, w = features([flat[i] for i in part.tolist()], n)
                 got[part] = (table[code] * w).sum(1)
     out = np.full(len(words), -np.inf)
@@ -138,13 +139,13 @@ def kernel(xs: list[str], ys: list[str]) -> np.ndarray:
     y = np.zeros((len(ys), len(used)), np.float32)
     y[rj, column] = wj
     out = np.zeros((len(xs), len(ys)), np.float32)
-    for lo in range(0, len(xs), 512):
-        ri, ci, wi = dense(xs[lo : lo + 512])
+    for lo in range(0, len(xs), 256):
+        ri, ci, wi = dense(xs[lo : lo + 256])
         at = np.minimum(np.searchsorted(used, ci), max(0, len(used) - 1))
         held = used[at] == ci if len(used) else np.zeros(len(ci), bool)
-        x = np.zeros((len(xs[lo : lo + 512]), len(used)), np.float32)
+        x = np.zeros((len(xs[lo : lo + 256]), len(used)), np.float32)
         x[ri[held], at[held]] = wi[held]
-        out[lo : lo + 512] = x @ y.T
+        out[lo : lo + 256] = x @ y.T
     return out
 
 
@@ -165,8 +166,14 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0)
     ridge[-1, -1] = 1e-3
     for _ in range(15):
         on = y * (x @ w) < 1
-        a = (x[on] * (c * weight[on])[:, None]).T
-        new = np.linalg.solve(ridge + a @ x[on], a @ y[on])
+        h, g = ridge.copy(), np.zeros(x.shape[1])
+        for lo in range(0, len(x), 2048):
+            m = on[lo : lo + 2048]
+            part = x[lo : lo + 2048][m]
+            a = (part * (c * weight[lo : lo + 2048][m])[:, None]).T
+            h += a @ part
+            g += a @ y[lo : lo + 2048][m]
+        new = np.linalg.solve(h, g)
         if np.abs(new - w).max() < 1e-6:
             return new
         w = 0.5 * w + 0.5 * new
@@ -205,7 +212,7 @@ def hash_of(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
-def fit(labelled: DataFrame, landmarks: int = 256, negatives: int = 12_000, rounds: int = 3) -> Model | None:
+def fit(labelled: DataFrame, landmarks: int = 192, negatives: int = 8_000, rounds: int = 3) -> Model | None:
     """From labelled (doc_id, text, toxic 0/1), a bounded sample that comes to the driver;
     null labels and texts don't count. Without rows of both classes the result is None.
     Copies of a text count once."""
@@ -220,10 +227,9 @@ def fit(labelled: DataFrame, landmarks: int = 256, negatives: int = 12_000, roun
     if not n1 or not n0:
         return None
     # toxic sentences as bags of words; for association, in how many texts a word stands
-    words_of = [[p for u in dict.fromkeys(units(text)) for p in _windows(u)] for text, _ in kept]
     held = [Counter(), Counter()]
-    for words, (_, y) in zip(words_of, kept, strict=True):
-        held[y].update(set(words))
+    for text, y in kept:
+        held[y].update({sys.intern(p) for u in set(units(text)) for p in _windows(u)})
     rate = {}
     for w, a in held[1].items():
         b = held[0][w]
@@ -234,6 +240,7 @@ def fit(labelled: DataFrame, landmarks: int = 256, negatives: int = 12_000, roun
     if not telling:
         return Model(np.zeros(SYMBOLS**3), -9.0, np.array([0.0] * (len(RANKS) + 1) + [np.log((n1 + 1) / (n0 + 1))]))
     clean = sorted((w for w in held[0] if len(w) >= 3 and w not in rate), key=lambda w: (hash_of(w), w))
+    held.clear()
     others = clean[:negatives]
     marks = list(dict.fromkeys(telling[: landmarks // 2] + others))[:landmarks]
     values, vectors = np.linalg.eigh(kernel(marks, marks))
@@ -252,13 +259,13 @@ def fit(labelled: DataFrame, landmarks: int = 256, negatives: int = 12_000, roun
         row, code, value = dense(marks)
         np.add.at(table, code.astype(np.int64), beta[row] * value)
         # the words of clean texts that score highest are negatives of the next round
-        s = word_scores(clean, table)
+        s = np.concatenate([word_scores(clean[lo : lo + 20_000], table) for lo in range(0, len(clean), 20_000)])
         hard |= {clean[i] for i in np.argsort(-s)[: negatives // 4].tolist()}
         # and the highest word of each toxic sentence is a positive, if it is telling
         score = dict(zip(flat, word_scores(flat, table), strict=True))
         top = {max(s, key=lambda p: (score[p], p)) for s in sentences if s}
         witnesses |= {p for p in top if score[p] + w[-1] > 0 and rate.get(p, 0) > 4}
-    measures = np.concatenate([_measures([t for t, _ in kept[lo : lo + 128]], table, float(w[-1]), memo) for memo in [{}] for lo in range(0, len(kept), 128)])
+    measures = np.concatenate([_measures([t for t, _ in kept[lo : lo + 128]], table, float(w[-1]), memo, most=60_000) for memo in [{}] for lo in range(0, len(kept), 128)])
     return Model(table, float(w[-1]), _logistic(measures, np.array([y for _, y in kept])))
 
 
@@ -323,7 +330,7 @@ def keep_below(docs: DataFrame, model: Model | None, threshold: float) -> DataFr
     return docs.mapInArrow(keep, docs.schema)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 3000, **options) -> Model | None:
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, **options) -> Model | None:
     """The model of labelled rows that are not held out: of each class those `per_class`
     labels with the smallest hashes of doc_id. Only their ids are broadcast and only
     their texts leave the documents' place."""
