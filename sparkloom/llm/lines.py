@@ -2,16 +2,17 @@
 
 Lines are compared in lower case without blanks at their ends. Equal lines are one class
 by a 96-bit hash. A line's set has the distinct character shingles of length `gram` that
-begin where a word begins (shorter at the line's end), as 64-bit hashes. Its signature is
-the `kept` least of them, its bands the pairs among the least BANDED: two lines share a
-band if two of their least hashes agree. Pairs that share a band, and enough of the
-signature, are confirmed by the exact Jaccard similarity of the whole sets. Components
-come from union-find; of each the first line (by doc_id, text, place) stays.
-
-Of two lines with similarity s, each of one's five least is among the other's with a
-probability near s, so they share a band with probability about 0.97 for s = 0.7, 0.993
-for s = 0.8 and 0.9995 for s = 0.9. A changed word changes two or three of a line's
-shingles, so s = 0.7 is about one word in fourteen.
+begin where a word begins (shorter at the line's end), as 64-bit hashes. Its bands are the
+BANDED least hashes of its longer shingles, of `long_gram` characters (of a shorter line
+the whole): long shingles are rare enough for one to be a band. Pairs that share a band,
+and enough of the `kept` least hashes of their sets, are confirmed by the exact Jaccard
+similarity of the sets. Components come from union-find; of each the first line (by
+doc_id, text, place) stays.
+
+A line's least long shingle is among another's with a probability near the similarity of
+their sets of long shingles, so lines that agree in 0.6 of those share one of four bands
+with probability 0.97, in 0.8 with 0.998. A changed word changes two or three shingles of
+12 characters and four or five of 24.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import stored
 from .linking import linked
 
 
-BANDED = 5
+BANDED = 4
 
 
 def normal(line: Column) -> Column:
@@ -49,21 +50,26 @@ def shingles(norm: Column, gram: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g))))
 
 
-def bands_of(lines: DataFrame, gram: int) -> DataFrame:
-    """key, v (h1): a row for each band of each line (norm)."""
-    signed = lines.select(F.xxhash64("norm").alias("v"), F.slice(shingles(F.col("norm"), gram), 1, BANDED).alias("s"))
-    at = [F.get("s", F.lit(k)) for k in range(BANDED)]
-    pairs = [F.when(at[j].isNotNull(), F.xxhash64(at[i], at[j])) for i in range(BANDED) for j in range(i + 1, BANDED)]
-    alone = F.when(F.size("s") == 1, F.xxhash64(at[0]))
-    return signed.select(F.explode(F.array(*pairs, alone)).alias("key"), "v").filter("key IS NOT NULL")
+def least_long(norm: Column, long_gram: int) -> Column:
+    """The BANDED least hashes of the line's long shingles."""
+    found = F.regexp_extract_all(norm, F.lit(rf"(?<!\S)(?=(\S.{{{long_gram - 1}}}))"), F.lit(1))
+    hashes = F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))), 1, BANDED)
+    return F.when(F.length(norm) < long_gram, F.array(F.xxhash64(norm))).otherwise(hashes)
 
 
-def line_components(lines: DataFrame, similarity: float = 0.7, gram: int = 12, kept: int = 16) -> DataFrame:
-    """v, comp: the classes (h1 of their lines) that are linked to others."""
+def signed_lines(docs: DataFrame, min_chars: int, long_gram: int = 24) -> DataFrame:
+    """doc_id, th, pos, h1, h2, bands of each line, in one pass over the texts."""
+    lines = line_rows(docs, min_chars)
+    return lines.select("doc_id", "th", "pos", *_ids(), least_long(F.col("norm"), long_gram).alias("bands"))
+
+
+def line_components(lines: DataFrame, signed: DataFrame, similarity: float = 0.7, gram: int = 12, kept: int = 16) -> DataFrame:
+    """v, comp: the classes (h1 of their lines) that are linked to others. lines: norm;
+    signed: h1, bands of the same lines."""
     # bands with two different lines; a window, not a join: each row is shuffled once, and
     # sorting spills. Sets follow only for the lines that are left.
     in_band = Window.partitionBy("key")
-    bands = bands_of(lines, gram).withColumns({"lo": F.min("v").over(in_band), "hi": F.max("v").over(in_band)})
+    bands = signed.select(F.explode("bands").alias("key"), F.col("h1").alias("v")).withColumns({"lo": F.min("v").over(in_band), "hi": F.max("v").over(in_band)})
     shared = stored(bands.filter("lo <> hi").select("key", "v").distinct(), "bands")
     wanted = shared.select("v").distinct()
     small = wanted.count() <= 1_000_000
@@ -92,9 +98,8 @@ def line_components(lines: DataFrame, similarity: float = 0.7, gram: int = 12, k
 def dropped(docs: DataFrame, min_chars: int = 20, similarity: float = 0.7, **options) -> DataFrame:
     """doc_id, th, drop: the places (from 0) of each text's lines that go; texts without
     such lines have no row."""
-    lines = line_rows(docs, min_chars)
-    labels = line_components(lines, similarity, **options)
-    keyed = stored(lines.select("doc_id", "th", "pos", *_ids()), "keyed")
+    keyed = stored(signed_lines(docs, min_chars), "signed_lines")
+    labels = line_components(line_rows(docs, min_chars), keyed, similarity, **options)
     # of each class its first line; classes of one line can only go with their component
     place = F.struct("doc_id", "th", "pos")
     classes = keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))

@@ -159,3 +159,10 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     packed = corpus_pipeline.pack(spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_agrees_with_sql(spark, name):
+    from oracle import differences, duck
+
+    assert differences(registry.QUERIES[name](spark, SF), duck(SF), registry.ORACLE_SQL[name]) == ""
