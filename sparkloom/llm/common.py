@@ -61,6 +61,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_texts(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, with the session's Arrow batches held to `rows` rows at most: the rows that go
+    to Python from here on are whole texts, and a batch of them lies in memory on both
+    sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(key))
+    if now <= 0 or now > rows:
+        docs.sparkSession.conf.set(key, str(rows))
+    return docs
+
+
 def held_out(doc_id="doc_id"):
     """True for the rows whose crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_texts
 from .tokens import encoded
 
 BLOCK_SCHEMA = (
@@ -173,7 +173,7 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 50
             yield full()
 
     order = ["doc_id", F.xxhash64("text")]
-    ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = whole_texts(docs).select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.mapInArrow(encode, BLOCK_SCHEMA)
 
 

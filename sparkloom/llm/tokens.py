@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -45,6 +46,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTES = _byte_characters()
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
 
 
 def _kind(spec: dict) -> str | None:
@@ -70,8 +72,9 @@ class _Memo(dict):
         self.model, self.longest = model, longest
 
     def __missing__(self, piece: str) -> bytes:
-        written = "".join(map(_BYTES.__getitem__, piece.encode()))
-        ids = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        written = piece.encode().decode("latin-1").translate(_BYTES)
+        tokens = self.model.tokenize(written)
+        ids = _PACK[len(tokens)](*[t.id for t in tokens]) if len(tokens) < len(_PACK) else np.array([t.id for t in tokens], "<u4").tobytes()
         if len(piece) <= self.longest:
             self[piece] = ids
         return ids
