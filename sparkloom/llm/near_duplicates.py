@@ -29,7 +29,7 @@ from .linking import components, linked
 class Words(dict):
     """word -> its place in `hashes`; asked for new words it hashes them."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.hashes, self.n, self.most = np.zeros(1 << 12, np.uint64), 0, most
 

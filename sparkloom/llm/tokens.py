@@ -84,7 +84,7 @@ class Encoder:
     """encode(texts) gives each text's ids as little-endian uint32 bytes. The memo is
     emptied when it holds more than `pieces`."""
 
-    def __init__(self, path: str, pieces: int = 150_000):
+    def __init__(self, path: str, pieces: int = 80_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

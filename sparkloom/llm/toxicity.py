@@ -269,7 +269,7 @@ def fit(labelled: DataFrame, landmarks: int = 192, negatives: int = 8_000, round
     return Model(table, float(w[-1]), _logistic(measures, np.array([y for _, y in kept])))
 
 
-def _measures(texts: list[str | None], table: np.ndarray, bias: float, memo: dict[str, float], most: int = 200_000) -> np.ndarray:
+def _measures(texts: list[str | None], table: np.ndarray, bias: float, memo: dict[str, float], most: int = 100_000) -> np.ndarray:
     """A row for each text: its distinct words' highest margins, by RANKS, from 0 (-1 and
     below, or fewer words) to 1 (1 and above), and the logarithm of the number of words
     over 50. The memo keeps frequent words."""
