@@ -2,7 +2,9 @@
 
 Lines are compared in lower case without blanks at their ends. Equal lines are one class
 by a 96-bit hash. A line's set has the distinct character shingles of length `gram` that
-begin where a word begins (shorter at the line's end), as 64-bit hashes. Its bands are the
+begin where a word begins (shorter at the line's end), and all that lie inside a word, as
+64-bit hashes: so each character is in a shingle, and a line without blanks (a URL, code,
+Chinese) has its shingles at every position. Its bands are the
 BANDED least hashes of its longer shingles, of `long_gram` characters (of a shorter line
 the whole): long shingles are rare enough for one to be a band. Pairs that share a band,
 and enough of the `kept` least hashes of their sets, are confirmed by the exact Jaccard
@@ -46,13 +48,13 @@ def _ids(norm: str = "norm") -> list[Column]:
 
 def shingles(norm: Column, gram: int) -> Column:
     """Ascending hashes of the line's distinct shingles."""
-    found = F.regexp_extract_all(norm, F.lit(rf"(?<!\S)(?=(\S.{{0,{gram - 1}}}))"), F.lit(1))
+    found = F.regexp_extract_all(norm, F.lit(rf"(?=((?<!\S)\S.{{0,{gram - 1}}}|\S{{{gram}}}))"), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g))))
 
 
 def least_long(norm: Column, long_gram: int) -> Column:
     """The BANDED least hashes of the line's long shingles."""
-    found = F.regexp_extract_all(norm, F.lit(rf"(?<!\S)(?=(\S.{{{long_gram - 1}}}))"), F.lit(1))
+    found = F.regexp_extract_all(norm, F.lit(rf"(?=((?<!\S)\S.{{{long_gram - 1}}}|\S{{{long_gram}}}))"), F.lit(1))
     hashes = F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))), 1, BANDED)
     return F.when(F.length(norm) < long_gram, F.array(F.xxhash64(norm))).otherwise(hashes)
 

@@ -1,5 +1,6 @@
 """Operators 4 and 7 against brute force, and on odd rows."""
 
+import hashlib
 import re
 
 import pytest
@@ -147,3 +148,17 @@ def test_lines_find_what_brute_force_finds(spark):
     want = brute_lines([tuple(r) for r in docs.collect()])
     got = lines.deduplicated(docs).groupBy().sum("n_dropped").first()[0]
     assert 0.98 * want <= got <= want and want > 50
+
+
+def test_lines_without_blanks(spark):
+    site = "https://www.example.com/"
+    urls = [f"{site}{hashlib.sha256(bytes([k])).hexdigest()}" for k in range(4)]
+    han = "".join(chr(0x4E00 + 37 * k) for k in range(80))
+    other = "".join(chr(0x4E00 + 41 * k + 7) for k in range(60))
+    docs = [
+        (1, "\n".join(urls)), (2, han), (3, f"{han[:2]}\u3042{han[3:]}"), (4, han[:24] + other),
+        (5, f"see {site}{'a1b2c3' * 3}x{'q' * 30}"), (6, f"see {site}{''.join(map(chr, range(97, 123)))}"),
+    ]
+    by = {r["doc_id"]: r for r in lines.deduplicated(frame(spark, docs)).collect()}
+    assert {i: by[i]["n_dropped"] for i in by} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0}
+    assert by[1]["text"] == docs[0][1] and by[4]["text"] == docs[3][1]
