@@ -5,16 +5,16 @@ by a 96-bit hash. A line's set has the distinct character shingles of length `gr
 begin where a word begins (shorter at the line's end), and all that lie inside a word, as
 64-bit hashes: so each character is in a shingle, and a line without blanks (a URL, code,
 Chinese) has its shingles at every position. Its bands are the
-BANDED least hashes of its longer shingles, of `long_gram` characters (of a shorter line
-the whole): long shingles are rare enough for one to be a band. Pairs that share a band,
+BANDED least hashes of its longer shingles, of `long_gram` characters: long shingles are
+rare enough for one to be a band. A line under SHORT characters has few of them, or none:
+the pairs of the BANDED least hashes of its set are bands too. Pairs that share a band,
 and enough of the `kept` least hashes of their sets, are confirmed by the exact Jaccard
 similarity of the sets. Components come from union-find; of each the first line (by
 doc_id, text, place) stays.
 
-A line's least long shingle is among another's with a probability near the similarity of
-their sets of long shingles, so lines that agree in 0.6 of those share one of four bands
-with probability 0.97, in 0.8 with 0.998. A changed word changes two or three shingles of
-12 characters and four or five of 24.
+Measured by a copy of these formulas, on 26,215 lines of sf0.1 with a word replaced, inserted or deleted (22,344 pairs
+of similarity 0.7 or more): all pairs of lines under 48 characters share a band, 1,343 of
+1,344 from 48 to 79, and 20,482 of 20,491 from 80 on.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .linking import linked
 
 
 BANDED = 4
+SHORT = 80
 
 
 def normal(line: Column) -> Column:
@@ -55,14 +56,29 @@ def shingles(norm: Column, gram: int) -> Column:
 def least_long(norm: Column, long_gram: int) -> Column:
     """The BANDED least hashes of the line's long shingles."""
     found = F.regexp_extract_all(norm, F.lit(rf"(?=((?<!\S)\S.{{{long_gram - 1}}}|\S{{{long_gram}}}))"), F.lit(1))
-    hashes = F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))), 1, BANDED)
-    return F.when(F.length(norm) < long_gram, F.array(F.xxhash64(norm))).otherwise(hashes)
+    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))), 1, BANDED)
 
 
-def signed_lines(docs: DataFrame, min_chars: int, long_gram: int = 24) -> DataFrame:
+def least_pairs(norm: Column, gram: int) -> Column:
+    """Hashes of the pairs of the BANDED least hashes of the line's set; of a set of one, that."""
+
+    def pairs(x: Column) -> Column:
+        each = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, BANDED), lambda b: F.xxhash64(a, b))))
+        return F.when(F.size(x) < 2, x).otherwise(each)
+
+    # in an array of one, so that the set is made once
+    return F.transform(F.array(F.slice(shingles(norm, gram), 1, BANDED)), pairs)[0]
+
+
+def banded(norm: Column, gram: int, long_gram: int) -> Column:
+    long = least_long(norm, long_gram)
+    return F.when(F.length(norm) < long_gram, least_pairs(norm, gram)).when(F.length(norm) < SHORT, F.concat(long, least_pairs(norm, gram))).otherwise(long)
+
+
+def signed_lines(docs: DataFrame, min_chars: int, gram: int = 12, long_gram: int = 24) -> DataFrame:
     """doc_id, th, pos, h1, h2, bands of each line, in one pass over the texts."""
     lines = line_rows(docs, min_chars)
-    return lines.select("doc_id", "th", "pos", *_ids(), least_long(F.col("norm"), long_gram).alias("bands"))
+    return lines.select("doc_id", "th", "pos", *_ids(), banded(F.col("norm"), gram, long_gram).alias("bands"))
 
 
 def line_components(lines: DataFrame, signed: DataFrame, similarity: float = 0.7, gram: int = 12, kept: int = 16) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators 4 and 7 against brute force, and on odd rows."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -162,3 +163,24 @@ def test_lines_without_blanks(spark):
     by = {r["doc_id"]: r for r in lines.deduplicated(frame(spark, docs)).collect()}
     assert {i: by[i]["n_dropped"] for i in by} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0}
     assert by[1]["text"] == docs[0][1] and by[4]["text"] == docs[3][1]
+
+
+def test_lines_of_each_length(spark):
+    """Lines with a word replaced, inserted or deleted, against the exact similarity of their sets."""
+    rng, texts, pairs = random.Random(3), [], {}
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    for top in [24, 32, 48, 80, 120] * 300:
+        line = []
+        while len(" ".join(line)) < top - 4:
+            line.append(rng.choice(words))
+        at, how = rng.randrange(len(line)), rng.randrange(3)
+        other = line[:at] + ([rng.choice(words)] if how == 0 else [rng.choice(words), line[at]] if how == 1 else []) + line[at + 1 :]
+        a, b = " ".join(line), " ".join(other)
+        sets = [{s[m.start() : m.start() + 12] for m in re.finditer(r"(?<!\S)(?=\S)", s)} for s in (a, b)]
+        if min(len(a), len(b)) >= 20 and len(sets[0] & sets[1]) >= 0.7 * len(sets[0] | sets[1]):
+            pairs.setdefault(top, []).append((len(texts), len(texts) + 1))
+            texts += [a, b]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.deduplicated(frame(spark, list(enumerate(texts)))).collect()}
+    recall = {top: sum(got[a] + got[b] for a, b in p) / len(p) for top, p in pairs.items()}
+    assert set(recall) == {24, 32, 48, 80, 120} and min(map(len, pairs.values())) >= 20
+    assert min(recall.values()) >= 0.98, recall
