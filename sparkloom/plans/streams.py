@@ -18,7 +18,7 @@ def stream_rate_limit(spark, sf_dir):
 
 
 def stream_windowed_counts(spark, sf_dir):
-    return feeds.run_to_end(feeds.windowed_counts(feeds.source(spark, sf_dir, "events")), "windowed-counts")
+    return feeds.counts_to_end(feeds.windowed_counts(feeds.source(spark, sf_dir, "events"), late=None), "windowed-counts")
 
 
 QUERIES = {f.__name__: f for f in (stream_loop_feed, stream_rate_limit, stream_windowed_counts)}

@@ -85,10 +85,12 @@ def admit(requests: DataFrame, window_us: int, most: int) -> DataFrame:
     return requests.groupBy("client").applyInPandasWithState(step, "client long, id long, hits long, allowed boolean", "hits array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Counts by event_type in tumbling windows; rows later than the watermark are left out.
+def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str | None = "10 minutes") -> DataFrame:
+    """Counts by event_type in tumbling windows; rows later than the watermark are left out,
+    none if late is None (for a bounded table, as all windows stay in state).
     ts without a zone is taken as UTC."""
-    t = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    t = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    t = t if late is None else t.withWatermark("ts", late)
     return t.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
@@ -110,17 +112,41 @@ def source(spark, sf_dir: str, name: str, files_a_trigger: int = 4) -> DataFrame
 
 def run_to_end(stream: DataFrame, name: str, wait_s: int = 3600) -> DataFrame:
     """Runs a stream over what is there now, into files in the shared folder, and reads them."""
+    base = _base(stream, name)
+    _ended(stream.writeStream.outputMode("append").option("path", f"{base}/rows").format("parquet"), base, name, wait_s)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def counts_to_end(stream: DataFrame, name: str, wait_s: int = 3600) -> DataFrame:
+    """The same for counts n that grow from batch to batch: every group with its last count,
+    whatever the order of the rows. Each batch writes the groups that it changed."""
+    base = _base(stream, name)
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+
+    _ended(stream.writeStream.outputMode("update").foreachBatch(write), base, name, wait_s)
+    spark = stream.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/rows")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):  # no batch
+        return spark.createDataFrame([], stream.schema)
+    keys = [c for c in stream.columns if c != "n"]
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows").groupBy(*keys).agg(F.max("n").alias("n"))
+
+
+def _base(stream: DataFrame, name: str) -> str:
     import uuid
 
     from sparkloom.session import shared_folder
 
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows").format("parquet").start()
+    return f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+def _ended(writer, base: str, name: str, wait_s: int) -> None:
+    q = writer.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").start()
     if not q.awaitTermination(wait_s):
         q.stop()
         raise TimeoutError(f"{name} did not come to its end in {wait_s} s")
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-__all__ = ["Feed", "admit", "detect", "fragments_of", "run_to_end", "source", "windowed_counts"]
+__all__ = ["Feed", "admit", "counts_to_end", "detect", "fragments_of", "run_to_end", "source", "windowed_counts"]
