@@ -82,13 +82,25 @@ def bounded_sample(df: DataFrame, n: int, seed: int = 17) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with _ appended until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def joined_ids(rows: DataFrame, ids: DataFrame, how: str, column: str = "doc_id", most: int = 1_000_000) -> DataFrame:
-    """rows with (left_semi) or without (left_anti) the ids (column _id, distinct, no null).
+    """rows with (left_semi) or without (left_anti) the ids (one column: distinct, no null).
     Up to `most` ids are broadcast, so the rows stay where they are; more are joined by a
-    shuffle."""
-    ids = stored(ids, "ids")
+    shuffle. rows may have any other columns."""
+    (name,) = free_names(rows, "joined_id")
+    ids = stored(ids.toDF(name), "ids")
     small = ids.count() <= most
-    return rows.join(F.broadcast(ids) if small else ids, F.col(column) == F.col("_id"), how)
+    return rows.join(F.broadcast(ids) if small else ids, F.col(column) == F.col(name), how)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -1,151 +1,164 @@
 """Operator 7: fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines are compared in lower case without blanks at their ends. Equal lines are one class
-by a 96-bit hash. A line's set has the distinct character shingles of length `gram` that
-begin where a word begins (shorter at the line's end), and all that lie inside a word, as
-64-bit hashes: so each character is in a shingle, and a line without blanks (a URL, code,
-Chinese) has its shingles at every position. Its bands are the
-BANDED least hashes of its longer shingles, of `long_gram` characters: long shingles are
-rare enough for one to be a band. A line under SHORT characters has few of them, or none:
-the pairs of the BANDED least hashes of its set are bands too. Pairs that share a band,
-and enough of the `kept` least hashes of their sets, are confirmed by the exact Jaccard
-similarity of the sets. Components come from union-find; of each the first line (by
-doc_id, text, place) stays.
-
-Measured by a copy of these formulas, on 26,215 lines of sf0.1 with a word replaced, inserted or deleted (22,344 pairs
-of similarity 0.7 or more): all pairs of lines under 48 characters share a band, 1,343 of
-1,344 from 48 to 79, and 20,482 of 20,491 from 80 on.
+by a 96-bit hash. A line's set has all its overlapping character shingles of length
+`gram` as 64-bit hashes (a shorter line is one shingle; a character is a UTF-16 unit), so
+URLs, code and scripts without blanks are compared whole. MinHash gives it COORDINATES
+minima of that very set, and each pair of coordinates is a band. Lines that share a band
+are tested by the exact Jaccard similarity of their sets, each against a few lines of the
+band first; what is still open then is compared in blocks, and gives links only, never
+pairs. Components come from union-find; of each the first line (by doc_id, text, place)
+stays.
+
+For two lines of similarity J the chance to share a band is 1 - (1-J)^6 - 6 J (1-J)^5:
+0.989 at 0.7, 0.998 at 0.8, 0.99994 at 0.9.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_names, stored
 from .linking import linked
 
-
-BANDED = 4
-SHORT = 80
-
-
-def normal(line: Column) -> Column:
-    """Lower case, without white space at the ends."""
-    return F.lower(F.btrim(line, F.lit(" \t\r")))
+COORDINATES = 6
+#: xor-ed to a hash, each gives another order of all hashes.
+_ORDERS = [((k * 0x9E3779B97F4A7C15) & 0x0FFFFFFFFFFFFFFF) | (k << 60) for k in range(COORDINATES)]
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, th (a hash of the text), pos, norm of each line of at least min_chars
-    characters after normal()."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    lines = text.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "th", "pos", normal(F.col("line")).alias("norm")).filter(F.length("norm") >= min_chars)
+    characters in lower case and without white space at its ends. norm is made inside the
+    array of lines, so it is made once however often it is used."""
+    normal = F.transform(F.split(F.lower("text"), "\n"), lambda line: F.btrim(line, F.lit(" \t\r")))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(normal).alias("pos", "norm"))
+    return lines.filter(F.length("norm") >= min_chars)
 
 
-def _ids(norm: str = "norm") -> list[Column]:
-    return [F.xxhash64(norm).alias("h1"), F.hash(norm).alias("h2")]
+def signatures(lines: DataFrame, gram: int) -> DataFrame:
+    """v, m0, m1, …: the minima of each distinct line (v, norm), over all its shingles."""
+    wide = lines.select("v", F.encode("norm", "UTF-16BE").alias("units"))
+    last = F.greatest(F.length("units") / 2 - (gram - 1), F.lit(1)).cast("int")
+    each = wide.select("v", "units", F.explode(F.sequence(F.lit(1), last)).alias("at"))
+    hashes = each.select("v", F.xxhash64(F.substring("units", F.col("at") * 2 - 1, F.lit(2 * gram))).alias("h"))
+    return hashes.groupBy("v").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_ORDERS)])
 
 
 def shingles(norm: Column, gram: int) -> Column:
-    """Ascending hashes of the line's distinct shingles."""
-    found = F.regexp_extract_all(norm, F.lit(rf"(?=((?<!\S)\S.{{0,{gram - 1}}}|\S{{{gram}}}))"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g))))
-
-
-def least_long(norm: Column, long_gram: int) -> Column:
-    """The BANDED least hashes of the line's long shingles."""
-    found = F.regexp_extract_all(norm, F.lit(rf"(?=((?<!\S)\S.{{{long_gram - 1}}}|\S{{{long_gram}}}))"), F.lit(1))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))), 1, BANDED)
-
-
-def least_pairs(norm: Column, gram: int) -> Column:
-    """Hashes of the pairs of the BANDED least hashes of the line's set; of a set of one, that."""
-
-    def pairs(x: Column) -> Column:
-        each = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, BANDED), lambda b: F.xxhash64(a, b))))
-        return F.when(F.size(x) < 2, x).otherwise(each)
-
-    # in an array of one, so that the set is made once
-    return F.transform(F.array(F.slice(shingles(norm, gram), 1, BANDED)), pairs)[0]
-
-
-def banded(norm: Column, gram: int, long_gram: int) -> Column:
-    long = least_long(norm, long_gram)
-    return F.when(F.length(norm) < long_gram, least_pairs(norm, gram)).when(F.length(norm) < SHORT, F.concat(long, least_pairs(norm, gram))).otherwise(long)
-
-
-def signed_lines(docs: DataFrame, min_chars: int, gram: int = 12, long_gram: int = 24) -> DataFrame:
-    """doc_id, th, pos, h1, h2, bands of each line, in one pass over the texts."""
-    lines = line_rows(docs, min_chars)
-    return lines.select("doc_id", "th", "pos", *_ids(), banded(F.col("norm"), gram, long_gram).alias("bands"))
-
-
-def line_components(lines: DataFrame, signed: DataFrame, similarity: float = 0.7, gram: int = 12, kept: int = 16) -> DataFrame:
-    """v, comp: the classes (h1 of their lines) that are linked to others. lines: norm;
-    signed: h1, bands of the same lines."""
-    # bands with two different lines; a window, not a join: each row is shuffled once, and
-    # sorting spills. Sets follow only for the lines that are left.
-    in_band = Window.partitionBy("key")
-    bands = signed.select(F.explode("bands").alias("key"), F.col("h1").alias("v")).withColumns({"lo": F.min("v").over(in_band), "hi": F.max("v").over(in_band)})
-    shared = stored(bands.filter("lo <> hi").select("key", "v").distinct(), "bands")
-    wanted = shared.select("v").distinct()
-    small = wanted.count() <= 1_000_000
-    named = lines.select(F.xxhash64("norm").alias("v"), "norm").join(F.broadcast(wanted) if small else wanted, "v", "left_semi")
-    sets = named.groupBy("v").agg(F.first("norm").alias("norm")).select("v", shingles(F.col("norm"), gram).alias("s"))
-    sets = stored(sets, "line_sets")
-    about = F.struct(F.slice("s", 1, kept).alias("s"), F.size("s").alias("n"))
-    postings = stored(shared.join(sets.select("v", about.alias("x")), "v").select("key", "v", "x"), "postings")
-
-    def near(x: Column, y: Column) -> Column:
-        """Sizes that leave the similarity possible, and signatures that make it likely:
-        of lines as similar as asked, less than half the agreement falls short of it in
-        one of some ten thousand pairs."""
-        sizes = F.least(x["n"], y["n"]) >= F.lit(similarity) * F.greatest(x["n"], y["n"])
-        agree = F.size(F.array_intersect(x["s"], y["s"]))
-        return sizes & (agree >= F.lit(0.5 * similarity) * F.least(F.size(x["s"]), F.size(y["s"])))
+    """Hashes of the line's distinct shingles, as signatures() has them."""
+
+    def of(units: Column) -> Column:
+        last = F.greatest(F.length(units) / 2 - (gram - 1), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(1), last), lambda at: F.xxhash64(F.substring(units, at * 2 - 1, F.lit(2 * gram))))
+
+    # in an array of one, so that the units are made once
+    return F.array_distinct(F.transform(F.array(F.encode(norm, "UTF-16BE")), of)[0])
+
+
+def similar(x: Column, y: Column, similarity: float) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return both >= F.lit(similarity) * (F.size(x) + F.size(y) - both)
+
+
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """key, v: the bands that at least two different lines have, and these lines."""
+    keys = [F.xxhash64(F.lit(i), f"m{i}", F.lit(j), f"m{j}") for i, j in combinations(range(COORDINATES), 2)]
+    bands = signed.select("v", F.explode(F.array(*keys)).alias("key"))
+    several = bands.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("key")
+    return stored(bands.join(several, "key").select("key", "v"), "bands")
+
+
+def open_links(open_: DataFrame, sets: DataFrame, similarity: float, block: int = 200_000) -> DataFrame:
+    """Links (a, b) between the components comp of rows (key, v, comp) that share a key,
+    enough to connect all that are linked.
+
+    Shingles that no other open line has can't be shared: a line that has too few others
+    is out. The rest of a key is dealt in blocks of about `block` shingles; two blocks at
+    a time meet in one row, where lines of different components are compared in the least
+    key that both have. Such a row gives pairs of components, each once."""
+    lines = stored(sets.join(open_.select("v").distinct(), "v"), "open_sets")
+    each = lines.select("v", F.explode("s").alias("h"))
+    several = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    held = each.join(several, "h").groupBy("v").agg(F.count("*").alias("shared"))
+    about = lines.join(held, "v").filter(F.col("shared") >= F.lit(similarity) * F.size("s")).select("v", "shared", F.size("s").alias("n"))
+    left = open_.select("key", "v", "comp").join(about, "v")
+    keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    left = stored(left.join(keys.filter("lo <> hi").select("key", "blocks"), "key"), "open_left")
+    own = left.withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    units = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "v", "comp", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    keyed = left.groupBy("v").agg(F.collect_set("key").alias("ks"))  # at most one for each band of a line
+    facts = lines.join(about.select("v", "shared"), "v").join(keyed, "v")
+    rows = units.join(facts, "v").select("key", "i", "j", F.struct("b", "comp", "shared", "ks", "s").alias("row"))
+    met = rows.groupBy("key", "i", "j").agg(F.collect_list("row").alias("rows"))
+
+    def compared(x: Column) -> Column:
+        def fits(y: Column) -> Column:
+            sizes = F.size(x["s"]) + F.size(y["s"])
+            bound = F.least(x["shared"], y["shared"]) * F.lit(1 + similarity) >= F.lit(similarity) * sizes
+            first = F.array_min(F.array_intersect(x["ks"], y["ks"])) == F.col("key")
+            return (y["b"] == F.col("j")) & (x["comp"] != y["comp"]) & ((F.col("i") != F.col("j")) | (x["comp"] < y["comp"])) & bound & first & similar(x["s"], y["s"], similarity)
+
+        return F.array_distinct(F.transform(F.filter("rows", fits), lambda y: F.struct(F.least(x["comp"], y["comp"]).alias("a"), F.greatest(x["comp"], y["comp"]).alias("b"))))
+
+    found = F.array_distinct(F.flatten(F.transform(F.filter("rows", lambda x: x["b"] == F.col("i")), compared)))
+    return met.select(F.explode(found).alias("link")).select("link.a", "link.b").distinct()
+
+
+def line_components(lines: DataFrame, similarity: float = 0.7, gram: int = 12, rounds: int = 4) -> DataFrame:
+    """v, comp: the distinct lines (v, norm) that are linked to others."""
+    shared = shared_bands(stored(signatures(lines, gram), "signatures"))
+    wanted = lines.join(shared.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("norm").alias("norm"))
+    sets = stored(wanted.select("v", shingles(F.col("norm"), gram).alias("s")), "line_sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return sides.filter(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+        return sides.filter(similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
 
-    return linked(postings, near, confirm)
+    return linked(shared, confirm, lambda rows: open_links(rows, sets, similarity), rounds=rounds)
 
 
-def dropped(docs: DataFrame, min_chars: int = 20, similarity: float = 0.7, **options) -> DataFrame:
+def dropped(docs: DataFrame, min_chars: int = 20, similarity: float = 0.7, gram: int = 12) -> DataFrame:
     """doc_id, th, drop: the places (from 0) of each text's lines that go; texts without
     such lines have no row."""
-    keyed = stored(signed_lines(docs, min_chars), "signed_lines")
-    labels = line_components(line_rows(docs, min_chars), keyed, similarity, **options)
-    # of each class its first line; classes of one line can only go with their component
-    place = F.struct("doc_id", "th", "pos")
-    classes = keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    lines = stored(line_rows(docs, min_chars).select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2")), "lines")
+    labels = line_components(lines.select(F.col("h1").alias("v"), "norm"), similarity, gram)
+    # the first line of a group: by doc_id over classes, then by text and place among that
+    # document's few. A null doc_id comes first
+    places = lines.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("doc_id").alias("id"), "th", "pos", "h1", "h2")
+    classes = places.groupBy("h1", "h2").agg(F.min("d").alias("d"), F.count("*").alias("n"))
     classes = classes.join(labels.withColumnRenamed("v", "h1"), "h1", "left").filter("n > 1 OR comp IS NOT NULL")
     group = F.when(F.col("comp").isNull(), F.struct("h1", "h2")).otherwise(F.struct(F.col("comp").alias("h1"), F.lit(None).cast("int").alias("h2")))
-    classes = stored(classes.withColumn("group", group), "line_classes")
-    firsts = classes.groupBy("group").agg(F.min("first").alias("keep"))
-    keep = classes.join(firsts, "group").select("h1", "h2", "keep")
-    gone = keyed.join(keep, ["h1", "h2"]).filter(F.col("keep") != place)
-    return gone.groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("pos")).alias("drop"))
+    classes = stored(classes.select("h1", "h2", "d", group.alias("group")), "line_classes")
+    firsts = classes.groupBy("group").agg(F.min("d").alias("first"))
+    grouped = stored(classes.join(firsts, "group").select("h1", "h2", "group", "first"), "line_groups")
+    found = stored(places.join(grouped, ["h1", "h2"]).select("d", "id", "th", "pos", "group", "first"), "grouped_lines")
+    keep = found.filter("d = first").groupBy("group").agg(F.min(F.struct("th", "pos")).alias("keep"))
+    in_first = found.filter("d = first").join(keep, "group").filter(F.col("keep") != F.struct("th", "pos")).select("id", "th", "pos")
+    gone = found.filter("d <> first").select("id", "th", "pos").unionByName(in_first)
+    return gone.groupBy("id", "th").agg(F.array_distinct(F.collect_list("pos")).alias("drop")).withColumnRenamed("id", "doc_id")
 
 
-def deduplicated(docs: DataFrame, text_column: str = "text", **options) -> DataFrame:
-    """docs with the dropped lines cut out of text, and n_lines, n_dropped.
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text, any others) with the dropped lines cut out of text, and two more
+    columns, n_lines and n_dropped (where docs has such names, with _ appended until free).
 
     The other lines stay as they are, in order. Null text stays null with 0 lines; empty
-    lines and lines under min_chars characters always stay. Rows with the same doc_id
-    and text are one document: they keep the same lines. No documents give no rows."""
-    names = docs.columns
-    gone = stored(dropped(docs, **options).toDF("_id", "_th", "_drop"), "dropped")
-    n, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()
+    lines and lines under min_chars characters always stay; a null doc_id comes before all
+    others. Rows with the same doc_id and text are one document: they keep the same lines.
+    No documents give no rows. Other columns of docs may have any names."""
+    gone = stored(dropped(docs.select("doc_id", "text"), **options).toDF("id", "th", "drop"), "dropped")
+    n, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
     if n <= 500_000 and places <= 4_000_000:  # some tens of MB at most: the texts stay where they are
         gone = F.broadcast(gone)
-    keyed = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
-    on = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
-    found = keyed.join(gone, on, "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    n_dropped = F.coalesce(F.size("_drop"), F.lit(0))
-    out = found.withColumns({"_n": F.coalesce(F.size(lines), F.lit(0)), "_k": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept), "_g": F.when(F.col("_drop").isNull(), 0).otherwise(n_dropped)})
-    return out.select(*[F.col("_k").alias("text") if c == text_column else F.col(c) for c in names], F.col("_n").alias("n_lines"), F.col("_g").alias("n_dropped"))
+    # the rows of docs travel in a struct, so that their names meet no others
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"))
+    found = rows.join(gone, F.col("d").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")), "left")
+    text = F.col("row")["text"]
+    lines = F.split(text, "\n")
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
+    own = [kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    n_lines, n_dropped = free_names(docs, "n_lines", "n_dropped")
+    return found.select(*own, F.coalesce(F.size(lines), F.lit(0)).alias(n_lines), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias(n_dropped))

@@ -35,20 +35,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("comp")).unionByName(roots).distinct()
 
 
-def linked(postings: DataFrame, near: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
+def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column] | None = None, rounds: int = 2) -> DataFrame:
     """v, comp of the rows in components of at least two, where rows of postings (key, v
-    and x, a struct that tells about v) that share a key and pass near() and confirm() are
-    linked.
+    and, for near, x, a struct that tells about v) that share a key and pass near() and
+    confirm() are linked.
 
     near takes two x and must hold for every link; it is the condition of the joins, so
     pairs that fail it are never made. confirm takes pairs (a, b), a < b, and gives the
     links. First, in some rounds, each row is paired with one row of each of its keys,
-    which joins most of a large group at the cost of its size. Then all pairs that share
-    a key, are near and still in different components are confirmed, so no link between
-    components is lost; inside one component none is needed. For each key only pairs with
-    a row outside the key's largest component are looked at. Where finish is given it does
-    this last part: it takes key, v, x, comp of the keys with several components and gives
-    links (a, b) that connect all that are linked."""
+    which joins most of a large group at the cost of its size. Then finish gets the rows
+    (key, v, x, comp) of the keys that still have several components, and gives links
+    (a, b) that connect all that are linked, so no link between components is lost."""
     labels = edges = tested = None
 
     def labelled() -> DataFrame:
@@ -56,28 +53,14 @@ def linked(postings: DataFrame, near: Callable[[Column, Column], Column], confir
             return postings.withColumn("comp", F.col("v"))
         return postings.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
-    for k in range(rounds + 1):
+    about = ["v", "comp"] + ["x"] * (near is not None)
+    for k in range(rounds):
         p = labelled()
-        if k < rounds:
-            lot = F.xxhash64(F.lit(k), "v")
-            hub = F.min_by(F.struct("v", "comp", "x"), lot).alias("hub")
-            keys = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).filter("lo <> hi")
-            ok = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.hub.comp")) & near(F.col("l.x"), F.col("r.hub.x"))
-            pairs = p.alias("l").join(keys.alias("r"), ok).select(F.col("l.v").alias("a"), F.col("r.hub.v").alias("b"))
-        else:
-            sizes = p.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            keys = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-            open_ = stored(p.join(keys.select("key", "top"), "key"), "open")
-            if finish is not None:
-                if not open_.isEmpty():
-                    links = stored(finish(open_.drop("top")).select("a", "b"), "links")
-                    edges = links if edges is None else edges.unionByName(links)
-                    labels = components(edges)
-                continue
-            minor = open_.filter("comp <> top")
-            ok = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("r.top")) | (F.col("l.v") < F.col("r.v"))) & near(F.col("l.x"), F.col("r.x"))
-            pairs = minor.alias("l").join(open_.alias("r"), ok).select(F.col("l.v").alias("a"), F.col("r.v").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        hub = F.min_by(F.struct(*about), F.xxhash64(F.lit(k), "v")).alias("hub")
+        keys = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).filter("lo <> hi")
+        ok = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.hub.comp"))
+        ok = ok if near is None else ok & near(F.col("l.x"), F.col("r.hub.x"))
+        pairs = p.alias("l").join(keys.alias("r"), ok).select(F.least("l.v", "r.hub.v").alias("a"), F.greatest("l.v", "r.hub.v").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -87,6 +70,13 @@ def linked(postings: DataFrame, near: Callable[[Column, Column], Column], confir
         links = stored(confirm(pairs).select("a", "b"), "links")
         edges = links if edges is None else edges.unionByName(links)
         labels = components(edges)
+    p = labelled()
+    keys = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    open_ = stored(p.join(keys, "key"), "open")
+    if not open_.isEmpty():
+        links = stored(finish(open_).select("a", "b"), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        labels = components(edges) if labels is None else components(links.unionByName(labels.select(F.col("v").alias("a"), F.col("comp").alias("b"))))
     if labels is None:
         return postings.select("v", F.col("v").alias("comp")).limit(0)
     return labels

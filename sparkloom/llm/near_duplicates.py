@@ -282,7 +282,7 @@ def grouped(docs: DataFrame, percent: int = 85, posted_matches: int = 16, matche
         return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (collisions(x, y) >= matches)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("v"), "text")
-    labels = linked(postings, near, lambda pairs: confirmed(pairs, texts, percent, size).distinct(), lambda rows: last_links(rows, texts, percent, size))
+    labels = linked(postings, lambda pairs: confirmed(pairs, texts, percent, size).distinct(), lambda rows: last_links(rows, texts, percent, size), near)
     # repeated doc_ids with different texts join their classes
     several = own.groupBy("doc_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi")
     if not several.isEmpty():
