@@ -1,32 +1,34 @@
 """Operator 7: fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Lines are compared in lower case without blanks at their ends. Equal lines are one class
-by a 96-bit hash. A line's set has all its overlapping character shingles of length
-`gram` as 64-bit hashes (a shorter line is one shingle; a character is a UTF-16 unit), so
-URLs, code and scripts without blanks are compared whole. MinHash gives it COORDINATES
-minima of that very set, and each pair of coordinates is a band. Lines that share a band
-are tested by the exact Jaccard similarity of their sets, each against a few lines of the
-band first; what is still open then is compared in blocks, and gives links only, never
-pairs. Components come from union-find; of each the first line (by doc_id, text, place)
-stays.
-
-For two lines of similarity J the chance to share a band is 1 - (1-J)^6 - 6 J (1-J)^5:
-0.989 at 0.7, 0.998 at 0.8, 0.99994 at 0.9.
+by a 96-bit hash. A line's set has the distinct character shingles of length `gram` that
+begin where a word begins (shorter at the line's end), and all that lie inside a word, as
+64-bit hashes: so each character is in a shingle, and a line without blanks (a URL, code,
+Chinese) has its shingles at every position. Its bands are MinHash values of that set: the
+BANDED least hashes of the longer shingles, of `long_gram` characters, that begin at the
+same places, and for
+a line under SHORT characters, which has few of them or none, the pairs of the BANDED
+least hashes of the set. Lines that share a band, and enough of the KEPT least hashes of
+their sets, are confirmed by the exact Jaccard similarity of the sets, each against a few
+lines of the band first; what is still open then is compared in blocks, and gives links
+only, never pairs. Components come from union-find; of each the first line (by doc_id,
+text, place) stays.
+
+All overlapping shingles as a set were tried and are out of reach here: README, check
+figures.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_names, stored
 from .linking import linked
 
-COORDINATES = 6
-#: xor-ed to a hash, each gives another order of all hashes.
-_ORDERS = [((k * 0x9E3779B97F4A7C15) & 0x0FFFFFFFFFFFFFFF) | (k << 60) for k in range(COORDINATES)]
+BANDED = 4
+SHORT = 80
+KEPT = 16
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -38,24 +40,32 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.filter(F.length("norm") >= min_chars)
 
 
-def signatures(lines: DataFrame, gram: int) -> DataFrame:
-    """v, m0, m1, …: the minima of each distinct line (v, norm), over all its shingles."""
-    wide = lines.select("v", F.encode("norm", "UTF-16BE").alias("units"))
-    last = F.greatest(F.length("units") / 2 - (gram - 1), F.lit(1)).cast("int")
-    each = wide.select("v", "units", F.explode(F.sequence(F.lit(1), last)).alias("at"))
-    hashes = each.select("v", F.xxhash64(F.substring("units", F.col("at") * 2 - 1, F.lit(2 * gram))).alias("h"))
-    return hashes.groupBy("v").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_ORDERS)])
+def shingles(norm: Column, gram: int) -> Column:
+    """Ascending hashes of the line's distinct shingles."""
+    found = F.regexp_extract_all(norm, F.lit(rf"(?=((?<!\S)\S.{{0,{gram - 1}}}|\S{{{gram}}}))"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g))))
+
 
+def least_long(norm: Column, long_gram: int) -> Column:
+    """The BANDED least hashes of the line's long shingles."""
+    found = F.regexp_extract_all(norm, F.lit(rf"(?=((?<!\S)\S.{{{long_gram - 1}}}|\S{{{long_gram}}}))"), F.lit(1))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda g: F.xxhash64(g)))), 1, BANDED)
 
-def shingles(norm: Column, gram: int) -> Column:
-    """Hashes of the line's distinct shingles, as signatures() has them."""
 
-    def of(units: Column) -> Column:
-        last = F.greatest(F.length(units) / 2 - (gram - 1), F.lit(1)).cast("int")
-        return F.transform(F.sequence(F.lit(1), last), lambda at: F.xxhash64(F.substring(units, at * 2 - 1, F.lit(2 * gram))))
+def least_pairs(norm: Column, gram: int) -> Column:
+    """Hashes of the pairs of the BANDED least hashes of the line's set; of a set of one, that."""
 
-    # in an array of one, so that the units are made once
-    return F.array_distinct(F.transform(F.array(F.encode(norm, "UTF-16BE")), of)[0])
+    def pairs(x: Column) -> Column:
+        each = F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, BANDED), lambda b: F.xxhash64(a, b))))
+        return F.when(F.size(x) < 2, x).otherwise(each)
+
+    # in an array of one, so that the set is made once
+    return F.transform(F.array(F.slice(shingles(norm, gram), 1, BANDED)), pairs)[0]
+
+
+def banded(norm: Column, gram: int, long_gram: int) -> Column:
+    long = least_long(norm, long_gram)
+    return F.when(F.length(norm) < long_gram, least_pairs(norm, gram)).when(F.length(norm) < SHORT, F.concat(long, least_pairs(norm, gram))).otherwise(long)
 
 
 def similar(x: Column, y: Column, similarity: float) -> Column:
@@ -64,11 +74,11 @@ def similar(x: Column, y: Column, similarity: float) -> Column:
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
-    """key, v: the bands that at least two different lines have, and these lines."""
-    keys = [F.xxhash64(F.lit(i), f"m{i}", F.lit(j), f"m{j}") for i, j in combinations(range(COORDINATES), 2)]
-    bands = signed.select("v", F.explode(F.array(*keys)).alias("key"))
+    """key, v: the bands that at least two different lines of signed (v, bands) have, and
+    these lines."""
+    bands = signed.select("v", F.explode("bands").alias("key"))
     several = bands.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("key")
-    return stored(bands.join(several, "key").select("key", "v"), "bands")
+    return stored(bands.join(several, "key").select("key", "v").distinct(), "bands")
 
 
 def open_links(open_: DataFrame, sets: DataFrame, similarity: float, block: int = 200_000) -> DataFrame:
@@ -80,10 +90,10 @@ def open_links(open_: DataFrame, sets: DataFrame, similarity: float, block: int
     a time meet in one row, where lines of different components are compared in the least
     key that both have. Such a row gives pairs of components, each once."""
     lines = stored(sets.join(open_.select("v").distinct(), "v"), "open_sets")
-    each = lines.select("v", F.explode("s").alias("h"))
-    several = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    held = each.join(several, "h").groupBy("v").agg(F.count("*").alias("shared"))
-    about = lines.join(held, "v").filter(F.col("shared") >= F.lit(similarity) * F.size("s")).select("v", "shared", F.size("s").alias("n"))
+    alone = lines.select("v", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("v")).filter("n = 1")
+    alone = alone.groupBy("v").agg(F.count("*").alias("own"))
+    about = lines.join(alone, "v", "left").select("v", (F.size("s") - F.coalesce("own", F.lit(0))).alias("shared"), F.size("s").alias("n"))
+    about = stored(about.filter(F.col("shared") >= F.lit(similarity) * F.col("n")), "open_sizes")
     left = open_.select("key", "v", "comp").join(about, "v")
     keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     left = stored(left.join(keys.filter("lo <> hi").select("key", "blocks"), "key"), "open_left")
@@ -107,24 +117,35 @@ def open_links(open_: DataFrame, sets: DataFrame, similarity: float, block: int
     return met.select(F.explode(found).alias("link")).select("link.a", "link.b").distinct()
 
 
-def line_components(lines: DataFrame, similarity: float = 0.7, gram: int = 12, rounds: int = 4) -> DataFrame:
-    """v, comp: the distinct lines (v, norm) that are linked to others."""
-    shared = shared_bands(stored(signatures(lines, gram), "signatures"))
-    wanted = lines.join(shared.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("norm").alias("norm"))
+def line_components(signed: DataFrame, similarity: float = 0.7, gram: int = 12, rounds: int = 3) -> DataFrame:
+    """v, comp: the distinct lines of signed (v, norm, bands) that are linked to others."""
+    shared = shared_bands(signed)
+    wanted = signed.join(shared.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("norm").alias("norm"))
     sets = stored(wanted.select("v", shingles(F.col("norm"), gram).alias("s")), "line_sets")
+    about = F.struct(F.slice("s", 1, KEPT).alias("s"), F.size("s").alias("n"))
+    postings = stored(shared.join(sets.select("v", about.alias("x")), "v").select("key", "v", "x"), "postings")
+
+    def near(x: Column, y: Column) -> Column:
+        """Sizes that leave the similarity possible, and signatures that make it likely:
+        of lines as similar as asked, less than half the agreement falls short of it in
+        one of some ten thousand pairs."""
+        sizes = F.least(x["n"], y["n"]) >= F.lit(similarity) * F.greatest(x["n"], y["n"])
+        agree = F.size(F.array_intersect(x["s"], y["s"]))
+        return sizes & (agree >= F.lit(0.5 * similarity) * F.least(F.size(x["s"]), F.size(y["s"])))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         return sides.filter(similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
 
-    return linked(shared, confirm, lambda rows: open_links(rows, sets, similarity), rounds=rounds)
+    return linked(postings, confirm, lambda rows: open_links(rows, sets, similarity), near, rounds)
 
 
-def dropped(docs: DataFrame, min_chars: int = 20, similarity: float = 0.7, gram: int = 12) -> DataFrame:
+def dropped(docs: DataFrame, min_chars: int = 20, similarity: float = 0.7, gram: int = 12, long_gram: int = 24) -> DataFrame:
     """doc_id, th, drop: the places (from 0) of each text's lines that go; texts without
     such lines have no row."""
-    lines = stored(line_rows(docs, min_chars).select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2")), "lines")
-    labels = line_components(lines.select(F.col("h1").alias("v"), "norm"), similarity, gram)
+    lines = line_rows(docs, min_chars).select("*", F.xxhash64("norm").alias("h1"), F.hash("norm").alias("h2"), banded(F.col("norm"), gram, long_gram).alias("bands"))
+    lines = stored(lines, "lines")
+    labels = line_components(lines.select(F.col("h1").alias("v"), "norm", "bands"), similarity, gram)
     # the first line of a group: by doc_id over classes, then by text and place among that
     # document's few. A null doc_id comes first
     places = lines.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("doc_id").alias("id"), "th", "pos", "h1", "h2")

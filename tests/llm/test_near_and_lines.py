@@ -121,8 +121,13 @@ def test_lines(spark):
     assert lines.deduplicated(frame(spark, docs).limit(0)).count() == 0
 
 
-def overlapping(line, gram=12):
-    return {line[i : i + gram] for i in range(max(1, len(line) - gram + 1))}
+def shingled(line, gram=12):
+    """The shingles that begin at a word or lie inside one, found character by character."""
+    out = set()
+    for i, c in enumerate(line):
+        if not c.isspace() and (i == 0 or line[i - 1].isspace() or len(line[i : i + gram].split()) == 1 == len(line[i : i + gram]) // gram and not any(map(str.isspace, line[i : i + gram]))):
+            out.add(line[i : i + gram])
+    return out
 
 
 def brute_lines(docs, similarity=0.7, min_chars=20):
@@ -134,7 +139,7 @@ def brute_lines(docs, similarity=0.7, min_chars=20):
             s = line.lower().strip(" \t\r")
             if len(s) >= min_chars:
                 places.append((i, pos))
-                sets.append(overlapping(s))
+                sets.append(shingled(s))
     parent = list(range(len(sets)))
 
     def root(x):
@@ -205,7 +210,7 @@ def test_lines_of_each_length(spark):
         at, how = rng.randrange(len(line)), rng.randrange(3)
         other = line[:at] + ([rng.choice(words)] if how == 0 else [rng.choice(words), line[at]] if how == 1 else []) + line[at + 1 :]
         a, b = " ".join(line), " ".join(other)
-        sets = [overlapping(s) for s in (a, b)]
+        sets = [shingled(s) for s in (a, b)]
         if min(len(a), len(b)) >= 20 and len(sets[0] & sets[1]) >= 0.7 * len(sets[0] | sets[1]):
             pairs.setdefault(top, []).append((len(texts), len(texts) + 1))
             texts += [a, b]
