@@ -2,8 +2,9 @@
 
 Every text is encoded, ends with an end id, and documents lie in ascending doc_id order.
 A block holds whole documents, about block_ids ids, as a grammar of its own: frequent
-pairs of ids are replaced by nonterminals again and again, so the stored sequence is
-short; with each rule stands the number of ids it expands to, by which any range of ids
+pairs of ids are replaced by nonterminals again and again until none is left that occurs
+`least` times (a rule for a rarer pair takes more room than it saves), so the stored
+sequence is short; with each rule stands the number of ids it expands to, by which any range of ids
 is found and decoded without the rest.
 
 File format: Parquet, a row for each block, columns
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_texts
+from .common import stored, tidy, whole_texts
 from .tokens import encoded
 
 BLOCK_SCHEMA = (
@@ -40,53 +41,77 @@ _BLOCK_ARROW = pa.schema(
 )
 
 
-def compress(ids: np.ndarray, rounds: int = 8, pairs_a_round: int = 256, least: int = 16, bits: int = 18):
-    """The grammar of an id sequence: (base, rules, expansions, sequence).
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
-    Each round counts all neighbouring pairs, gives a nonterminal to each of the
-    pairs_a_round most frequent that occur at least `least` times, and replaces their
-    occurrences from left to right where they don't overlap."""
+
+def compress(ids: np.ndarray, least: int = 16, bits: int = 18):
+    """The grammar of an id sequence: (base, rules, expansions, sequence), in which no
+    pair is left that occurs `least` times without overlapping itself.
+
+    Rounds replace many pairs at once: of two occurrences that overlap the one of the more
+    frequent pair is taken, so the most frequent pair of all is replaced wherever it
+    stands, and a pair that has fewer than `least` occurrences to itself waits for the
+    next round. Counts are carried on, not made anew: only places whose pair was frequent
+    in the last round, or has a symbol that it made, are looked at again, since no other
+    pair's count can have grown."""
     seq = ids.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
-    rules: list[np.ndarray] = []
-    symbol = base
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << 32) | seq[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        counts = np.bincount(slot, minlength=1 << bits)
-        top = np.argpartition(counts, -2 * pairs_a_round)[-2 * pairs_a_round :]
-        hot = np.zeros(1 << bits, bool)
-        hot[top[counts[top] >= least]] = True
-        at = np.flatnonzero(hot[slot])
+    rules: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    spans = np.ones(base, np.int64)
+    live = np.ones(len(seq), bool)  # the pair that begins here may be frequent
+    while len(seq) > 1:
+        live[-1] = False
+        at = np.flatnonzero(live)
+        key = (seq[at] << 32) | seq[at + 1]
+        slot = _slots(key, bits)
+        maybe = np.bincount(slot, minlength=1 << bits)[slot] >= least
+        live[at[~maybe]] = False
+        at, key = at[maybe], key[maybe]
         if not len(at):
             break
-        pairs, which, n = np.unique(key[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")[:pairs_a_round]
-        order = order[n[order] >= least]
-        if not len(order):
+        # of a run of one pair every second place counts
+        follows = np.zeros(len(at), bool)
+        follows[1:] = (key[1:] == key[:-1]) & (at[1:] == at[:-1] + 1)
+        starts = np.flatnonzero(~follows)
+        counted = (np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0
+        at, key = at[counted], key[counted]
+        pairs, n = np.unique(key, return_counts=True)
+        pairs, n = pairs[n >= least], n[n >= least]
+        if not len(pairs):
             break
-        code = np.full(len(pairs), -1, np.int64)
-        code[order] = symbol + np.arange(len(order))
-        code = code[which]
-        at, code = at[code >= 0], code[code >= 0]
+        # which pair stands at each place: by a table, and by search where two pairs share a slot
+        table = np.zeros(1 << bits, np.int32)
+        table[_slots(pairs, bits)] = np.arange(len(pairs), dtype=np.int32)
+        which = table[_slots(key, bits)]
+        other = np.flatnonzero(pairs[which] != key)
+        which[other] = np.minimum(np.searchsorted(pairs, key[other]), len(pairs) - 1)
+        frequent = pairs[which] == key
+        live[at[~frequent]] = False
+        at, which = at[frequent], which[frequent]
+        rank = np.empty(len(pairs), np.int32)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(pairs), dtype=np.int32)
+        r, overlap = rank[which], np.diff(at) == 1
         first = np.ones(len(at), bool)
-        first[1:] = np.diff(at) != 1
-        starts = np.flatnonzero(first)
-        kept = (np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0
-        at, code = at[kept], code[kept]
-        rules.append(np.stack([pairs[order] >> 32, pairs[order] & 0xFFFFFFFF], 1))
-        symbol += len(order)
+        first[1:] &= ~overlap | (r[1:] < r[:-1])
+        first[:-1] &= ~overlap | (r[:-1] < r[1:])
+        at, which = at[first], which[first]
+        enough = np.bincount(which, minlength=len(pairs)) >= least
+        made = pairs[enough]
+        code = np.full(len(pairs), -1, np.int64)
+        code[enough] = len(spans) + np.arange(len(made))
+        at, code = at[enough[which]], code[which[enough[which]]]
+        rules.append(np.stack([made >> 32, made & 0xFFFFFFFF], 1))
+        oldest = len(spans)
+        spans = np.concatenate([spans, spans[rules[-1][:, 0]] + spans[rules[-1][:, 1]]])
         seq[at] = code
         left = np.ones(len(seq), bool)
         left[at + 1] = False
-        seq = seq[left]
-    flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    lengths = np.ones(base + len(flat), np.int64)
-    for k, (a, b) in enumerate(flat):
-        lengths[base + k] = lengths[a] + lengths[b]
-    return base, flat.astype("<u4"), lengths[base:].astype("<u4"), seq
+        seq, live = seq[left], live[left]
+        new = np.flatnonzero(seq >= oldest)
+        live[new] = True
+        live[np.maximum(new - 1, 0)] = True
+    return base, np.concatenate(rules).astype("<u4"), spans[base:].astype("<u4"), seq
 
 
 class Block:
@@ -137,7 +162,7 @@ class Block:
         return self.ids(int(self.doc_ends[k - 1]) if k else 0, int(self.doc_ends[k]))
 
 
-def blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 500_000, rounds: int = 8) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 500_000, least: int = 16) -> DataFrame:
     """The blocks of docs (doc_id, text), in shards by ranges of doc_id.
 
     Null text counts as empty: the end id alone. A null doc_id is stored as the smallest
@@ -156,7 +181,7 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 50
         def full():
             nonlocal block, before
             ids = np.frombuffer(b"".join(parts), "<u4")
-            base, rules, expansions, seq = compress(ids, rounds)
+            base, rules, expansions, seq = compress(ids, least)
             wide = base + len(rules) > 1 << 16
             row = (shard, block, before, len(ids), np.array(doc_ids, "<i8").tobytes(), np.array([len(p) // 4 for p in parts], "<u4").tobytes(), base, rules.tobytes(), expansions.tobytes(), seq.astype("<u4" if wide else "<u2").tobytes(), wide)
             block, before = block + 1, before + len(ids)
@@ -174,7 +199,7 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = 50
 
     order = ["doc_id", F.xxhash64("text")]
     ranged = whole_texts(docs).select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.mapInArrow(encode, BLOCK_SCHEMA)
+    return ranged.mapInArrow(tidy(encode), BLOCK_SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, **options) -> None:
@@ -204,7 +229,7 @@ def documents(files: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids), pa.array(row["shard_start"] + row["ids_before"] + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], schema=out)
 
-    found = files.join(begin, "shard").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = files.join(begin, "shard").mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
 
 

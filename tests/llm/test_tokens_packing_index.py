@@ -48,6 +48,24 @@ def test_repair_round_trip(spark):
     assert len(repair.compress(np.tile([1, 2, 3, 2], 700), least=2)[3]) < 60
 
 
+def test_grammars_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    cases = [rng.integers(0, k, n).astype("<u4") for k in (1, 2, 5, 40) for n in (0, 1, 2, 3, 700, 5000)] + [np.tile(rng.integers(0, 9, 50), 40).astype("<u4")]
+    for ids in cases:
+        for least in (2, 16):
+            base, rules, expansions, seq = repair.compress(ids, least=least)
+            expanded = [[x] for x in range(base)]
+            for a, b in rules.tolist():
+                expanded.append(expanded[a] + expanded[b])
+            assert [y for x in seq.tolist() for y in expanded[x]] == ids.tolist()
+            assert [len(x) for x in expanded[base:]] == expansions.tolist()
+            counts, last = {}, {}
+            for i, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist())):
+                if last.get(pair) != i - 1:  # doesn't overlap the one counted before
+                    counts[pair], last[pair] = counts.get(pair, 0) + 1, i
+            assert max(counts.values(), default=0) < least
+
+
 def test_repair_files(spark):
     docs = odd_docs(spark)
     got = repair.written(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
