@@ -65,26 +65,36 @@ def _kind(spec: dict) -> str | None:
 
 
 class _Memo(dict):
-    """piece -> ids as little-endian uint32 bytes; asks the library's model when it misses."""
+    """piece -> ids as little-endian uint32 bytes; asks the library's model when it misses.
+    There are two generations of at most `most` pieces: one that is asked for again while
+    it is old moves up, so frequent pieces outlive rare ones."""
 
-    def __init__(self, model, longest: int = 48):
+    def __init__(self, model, most: int, longest: int = 48):
         super().__init__()
-        self.model, self.longest = model, longest
+        self.tokenize, self.most, self.longest, self.old = model.tokenize, most, longest, {}
 
     def __missing__(self, piece: str) -> bytes:
-        written = piece.encode().decode("latin-1").translate(_BYTES)
-        tokens = self.model.tokenize(written)
-        ids = _PACK[len(tokens)](*[t.id for t in tokens]) if len(tokens) < len(_PACK) else np.array([t.id for t in tokens], "<u4").tobytes()
-        if len(piece) <= self.longest:
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            if piece.isascii() and piece[-1] > " ":  # its only blank is the first character
+                written = piece.replace(" ", _BYTES[32])
+            else:
+                written = piece.encode().decode("latin-1").translate(_BYTES)
+            tokens = [t.id for t in self.tokenize(written)]
+            ids = _PACK[len(tokens)](*tokens) if len(tokens) < len(_PACK) else np.array(tokens, "<u4").tobytes()
+            if len(piece) > self.longest:
+                return ids
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[piece] = ids
         return ids
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian uint32 bytes. The memo is
-    emptied when it holds more than `pieces`."""
+    """encode(texts) gives each text's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, pieces: int = 80_000):
+    def __init__(self, path: str, most: int = 90_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -94,7 +104,7 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.kind = _kind(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.memo, self.pieces = _Memo(self.tokenizer.model), pieces
+        self.memo = _Memo(self.tokenizer.model, most)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -107,8 +117,6 @@ class Encoder:
             plain = not text.encode().translate(None, _ASCII) if text.isascii() else _PLAIN.fullmatch(text)
             if plain and not any(s in text for s in self.special):
                 out.append(b"".join(map(get, cut(text if self.kind == "byte" else text.lower()))))
-                if len(self.memo) > self.pieces:
-                    self.memo.clear()
             else:
                 out += self.direct([text])
         return out
