@@ -72,6 +72,32 @@ def whole_texts(docs: DataFrame, rows: int = 1000) -> DataFrame:
     return docs
 
 
+def give_back() -> None:
+    """Returns what this Python worker no longer needs to the system: workers are reused,
+    and what one stage has freed would stay with them through the next."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def tidy(batches_of):
+    """A function of Arrow batches that gives its memory back when its task ends."""
+
+    def run(batches):
+        try:
+            yield from batches_of(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def held_out(doc_id="doc_id"):
     """True for the rows whose crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, stored, whole_texts
+from .common import ALNUM, stored, tidy, whole_texts
 
 INDEX = "segment long, word binary, n long, places binary, doc_ids binary, starts binary"
 _INDEX = pa.schema([("segment", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("places", pa.binary()), ("doc_ids", pa.binary()), ("starts", pa.binary())])
@@ -62,7 +62,7 @@ def _segment(segment: int, doc_ids: list[int], starts: list[int], ids: list[np.n
     yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.nulls(1, pa.binary()), pa.array([len(doc_ids)], pa.int64()), pa.nulls(1, pa.binary()), pa.array([keys], pa.binary()), pa.array([bounds], pa.binary())], schema=_INDEX)
 
 
-def build(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
+def build(docs: DataFrame, segment_words: int = 400_000) -> DataFrame:
     """The stored index of docs (doc_id, text). Null or wordless texts have a document entry only."""
 
     def index(batches):
@@ -87,7 +87,7 @@ def build(docs: DataFrame, segment_words: int = 1_000_000) -> DataFrame:
         if doc_ids:
             yield from _segment(segment, doc_ids, starts, ids, total, list(codes))
 
-    return stored(whole_texts(docs).select("doc_id", "text").mapInArrow(index, INDEX), "index")
+    return stored(whole_texts(docs).select("doc_id", "text").mapInArrow(tidy(index), INDEX), "index")
 
 
 def phrases_of(text: str | bytes | None, window: int) -> list[tuple[bytes, ...]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import whole_texts
+from .common import tidy, whole_texts
 from .dom import Page, features
 
 
@@ -217,4 +217,4 @@ def extracted(pages: DataFrame, batch_pages: int = 64, **options) -> DataFrame:
                 texts = main_texts(b.column("html").to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_OUT)
 
-    return whole_texts(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return whole_texts(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(tidy(extract), "page_id long, url string, text string, n_chars long")

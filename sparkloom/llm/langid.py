@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, whole_texts
+from .common import held_out, tidy, whole_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIMS = 1 << 14
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model: Model | None, reject: float = 0.0) -> DataFr
             flush()
             yield pa.RecordBatch.from_arrays([ids, pa.array(langs), pa.array(scores), pa.array([x == "und" or s < reject for x, s in zip(langs, scores, strict=True)])], schema=out)
 
-    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double, rejected boolean")
+    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(score), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def identified(docs: DataFrame, **options) -> DataFrame:

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, stored, whole_texts
+from .common import LOWER, mix64, stored, tidy, whole_texts
 from .linking import components, linked
 
 
 class Words(dict):
     """word -> its place in `hashes`; asked for new words it hashes them."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.hashes, self.n, self.most = np.zeros(1 << 12, np.uint64), 0, most
 
@@ -120,7 +120,7 @@ def signed(docs: DataFrame, size: int = 5) -> DataFrame:
                 sketch.append(packed(full))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))], schema=_SIGNED)
 
-    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, signature array<int>, sketch array<long>")
+    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(sign), "doc_id long, n_shingles long, s1 long, s2 long, signature array<int>, sketch array<long>")
 
 
 def prefixes(classes: DataFrame, matches: int) -> DataFrame:

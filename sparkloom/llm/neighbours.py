@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 
 @lru_cache(8)
@@ -119,7 +119,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 6, probes: i
                         m = near.shape[1]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(near.size, t, np.int32)), pa.array(near.ravel().astype(np.int32)), pa.array(np.ones(near.size, bool)), pa.array(np.repeat(c[ask], m)), pa.array(np.repeat(least[ask], m)), pa.array(np.repeat(raw[ask], m), pa.binary())], schema=posting)
 
-    posted = classes.withColumn("least", F.col("ids")[0]).select("c", "least", "asked", "embedding").mapInArrow(post, "t int, bucket int, query boolean, c long, least long, v binary")
+    posted = classes.withColumn("least", F.col("ids")[0]).select("c", "least", "asked", "embedding").mapInArrow(tidy(post), "t int, bucket int, query boolean, c long, least long, v binary")
     # one row for a bucket: tables * buckets of them at most
     blocks = posted.groupBy("t", "bucket").agg(F.ceil(F.count_if("query") / block_rows).alias("nq"), F.ceil(F.count_if(~F.col("query")) / block_rows).alias("nd"))
     blocks = blocks.filter("nq > 0 AND nd > 0")

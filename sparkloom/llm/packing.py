@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole_texts
+from .common import stored, tidy, whole_texts
 from .tokens import encoded
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
 
-    return whole_texts(docs).select("doc_id", "text").mapInArrow(cut, PIECES)
+    return whole_texts(docs).select("doc_id", "text").mapInArrow(tidy(cut), PIECES)
 
 
 def _packer(level: int, capacity: int, slack: int, carry: int):

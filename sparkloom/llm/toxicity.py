@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, mix64, whole_texts
+from .common import bounded_sample, held_out, mix64, tidy, whole_texts
 
 SYMBOLS = 64  # 0: no symbol; 1-26 letters; 27-36 digits; 37-61 other letters, hashed; 62, 63: a word's ends
 LAMBDA = 0.6
@@ -310,7 +310,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 got[lo : lo + 128] = m.probability(_measures(texts.slice(lo, 128).to_pylist(), m.table, m.bias, memo))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], schema=out)
 
-    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, score double")
+    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(rate), "doc_id long, score double")
 
 
 def keep_below(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
@@ -327,7 +327,7 @@ def keep_below(docs: DataFrame, model: Model | None, threshold: float) -> DataFr
                 good[lo : lo + 128] = m.probability(_measures(texts.slice(lo, 128).to_pylist(), m.table, m.bias, memo)) < threshold
             yield batch.filter(pa.array(good))
 
-    return whole_texts(docs).mapInArrow(keep, docs.schema)
+    return whole_texts(docs).mapInArrow(tidy(keep), docs.schema)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, **options) -> Model | None:
