@@ -94,7 +94,7 @@ class _Memo(dict):
 class Encoder:
     """encode(texts) gives each text's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, most: int = 90_000):
+    def __init__(self, path: str, pieces: int = 90_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,7 +104,7 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.kind = _kind(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.memo = _Memo(self.tokenizer.model, most)
+        self.memo = _Memo(self.tokenizer.model, pieces)
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
