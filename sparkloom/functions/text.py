@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,10 +29,25 @@ def rstrip(c: Column) -> Column:
 
 
 def word_set(line: Column) -> Column:
-    """Distinct lower-case words of two characters or more that aren't stop words."""
+    """Distinct lower-case words of two characters or more that aren't stop words, as
+    64-bit hashes: sets of numbers are compared several times as fast as sets of strings."""
     words = F.split(F.lower(line), r"(?U)\s+")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
+    said = F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.array_distinct(F.transform(said, lambda w: F.xxhash64(w)))
+
+
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_ENDS = re.compile(rf"\A{_BLANKS.pattern}|{_BLANKS.pattern}\Z")
+_STOP = frozenset(STOP_WORDS)
+
+
+def stripped_words(raw: str) -> tuple[str, set[int]]:
+    """strip() and word_set() of one line, for code that holds state between lines. The
+    hashes are other ones: they are only compared with each other."""
+    line = _ENDS.sub("", raw)
+    said = {w for w in _BLANKS.split(line.lower()) if len(w) > 1} - _STOP
+    return line, {int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in said}
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -10,10 +10,10 @@ from sparkloom.functions.text import jaccard, similar, strip, word_set
 
 def eligible_lines(texts: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20) -> DataFrame:
     """key, pos, line, words: stripped lines of at least least_chars characters whose word
-    set isn't empty. Others take no place in a window. The last line counts without an end."""
-    lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "raw")).withColumn("line", strip(F.col("raw")))
-    lines = lines.filter(F.length("line") >= least_chars).withColumn("words", word_set(F.col("line")))
-    return lines.filter(F.size("words") > 0).select(key, "pos", "line", "words")
+    set isn't empty. Others take no place in a window. The last line counts without an end.
+    Lines and sets pass through a generator, so each is made once however often it is used."""
+    lines = texts.select(key, F.posexplode(F.transform(F.split(text, "\n"), strip)).alias("pos", "line")).filter(F.length("line") >= least_chars)
+    return lines.select(key, "pos", "line", F.explode(F.array(word_set(F.col("line")))).alias("words")).filter(F.size("words") > 0)
 
 
 def match_counts(lines: DataFrame, key: str = "doc_id", window: int = 20, similarity: float = 0.7) -> DataFrame:

@@ -2,65 +2,83 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import STOP_WORDS
+from sparkloom.functions.text import stripped_words
 
-_STOP = frozenset(STOP_WORDS)
 FEED_OUT = "key long, seq long, line string, match_count int, action string"
-FEED_STATE = "buffer string, words array<array<string>>, stopped boolean"
+FEED_STATE = "rest string, sets array<array<long>>, stopped boolean"
+LEAST_CHARS = 20
 
 
 class Feed:
-    """The state of one text that arrives in fragments. A line counts when its end has
-    come; a fragment gives at most one detection, and what follows it in the buffer
-    waits for the next fragment."""
-
-    def __init__(self, window=20, threshold=3, similarity=0.7, action="escape", buffer="", words=(), stopped=False):
-        self.window, self.threshold, self.similarity, self.action = window, threshold, similarity, action
-        self.buffer, self.words, self.stopped = buffer, [frozenset(w) for w in words], stopped
+    """One text that arrives in fragments: a line is judged when its end has come, by the
+    word sets in a ring of the last `window` lines (0: all). A fragment gives at most one
+    detection; the ended lines behind it wait for the next fragment. After a detection
+    with action `stop` nothing is judged any more."""
+
+    def __init__(self, window=20, threshold=3, similarity=0.7, action="escape", rest="", sets=(), stopped=False):
+        self.threshold, self.similarity, self.action = threshold, similarity, action
+        self.ring = deque(map(frozenset, sets), maxlen=window or None)
+        *ended, self.tail = rest.split("\n")
+        self.waiting, self.stopped = deque(ended), stopped
+
+    @property
+    def rest(self) -> str:
+        """What has come and isn't judged."""
+        return "\n".join([*self.waiting, self.tail])
+
+    def reset(self) -> None:
+        """Forgets the text: the next fragment begins another."""
+        self.ring.clear()
+        self.waiting.clear()
+        self.tail, self.stopped = "", False
 
     def push(self, fragment: str) -> tuple[str, int] | None:
-        if self.stopped:
+        if not self.stopped:
+            *ended, self.tail = (self.tail + fragment).split("\n")
+            self.waiting.extend(ended)
+        found = None
+        while found is None and self.waiting and not self.stopped:
+            found = self._judged(self.waiting.popleft())
+        self.stopped |= found is not None and self.action == "stop"
+        return found
+
+    def _judged(self, raw: str) -> tuple[str, int] | None:
+        line, words = stripped_words(raw)
+        if len(line) < LEAST_CHARS or not words:
             return None
-        self.buffer += fragment
-        while "\n" in self.buffer:
-            line, self.buffer = self.buffer.split("\n", 1)
-            line = line.strip()
-            if len(line) < 20:
-                continue
-            own = frozenset(w for w in line.lower().split() if len(w) > 1 and w not in _STOP)
-            if not own:
-                continue
-            past = self.words[-self.window :] if self.window else self.words
-            n = sum(len(own & p) / len(own | p) >= self.similarity for p in past)
-            self.words = [*past, own][-self.window :] if self.window else [*past, own]
-            if n >= self.threshold:
-                self.stopped = self.action == "stop"
-                return line, n
-        return None
+        shared = np.array([len(words & past) for past in self.ring], float)
+        either = np.array([len(past) for past in self.ring], float) + len(words) - shared
+        matches = int(np.count_nonzero(shared / either >= self.similarity))
+        self.ring.append(words)
+        return (line, matches) if matches >= self.threshold else None
 
 
 def detect(fragments: DataFrame, action: str = "escape", idle: str | None = None, **options) -> DataFrame:
-    """fragments (key, seq, chunk), a stream: a row for each detection. With
-    idle (as "5 minutes") the state of a key that gets nothing for so long goes."""
+    """fragments (key, seq, chunk), a stream: a row for each detection. A null chunk resets
+    its key. Fragments of a micro-batch are taken by seq; across batches they must come in
+    order. With idle (as "5 minutes") the state of a key that gets nothing for so long goes."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        buffer, words, stopped = state.get if state.exists else ("", [], False)
-        feed = Feed(action=action, buffer=buffer, words=words, stopped=stopped, **options)
-        rows = []
-        for seq, chunk in sorted((s, c) for b in batches for s, c in zip(b["seq"], b["chunk"], strict=True)):
-            if found := feed.push(chunk):
-                rows.append((key[0], seq, found[0], found[1], action))
-        state.update((feed.buffer, [sorted(w) for w in feed.words], feed.stopped))
+        rest, sets, stopped = state.get if state.exists else ("", [], False)
+        feed, rows = Feed(action=action, rest=rest, sets=sets, stopped=stopped, **options), []
+        for part in sorted([x for b in batches for x in zip(b["seq"], b["chunk"], strict=True)], key=lambda x: x[0]):
+            if part[1] is None:
+                feed.reset()
+            elif found := feed.push(part[1]):
+                rows.append((key[0], part[0], *found, action))
+        state.update((feed.rest, [sorted(s) for s in feed.ring], feed.stopped))
         if idle:
             state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame(rows, columns=["key", "seq", "line", "match_count", "action"])
@@ -68,21 +86,51 @@ def detect(fragments: DataFrame, action: str = "escape", idle: str | None = None
     return fragments.groupBy("key").applyInPandasWithState(step, FEED_OUT, FEED_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
-def admit(requests: DataFrame, window_us: int, most: int) -> DataFrame:
-    """requests (client, id, us), a stream: id, client, hits, allowed. State holds the
-    client's hits of the last window only."""
+def _hits(us: np.ndarray, window_us: int) -> np.ndarray:
+    """Of requests in order: how many of them, up to and with each, are less than the window old."""
+    if window_us <= 0:
+        return np.ones(len(us), np.int64)
+    return np.arange(1, len(us) + 1) - np.searchsorted(us, us - window_us, "right")
+
+
+ADMITTED = "client long, id long, hits long, allowed boolean, revision long"
+
+
+def admit(requests: DataFrame, window_us: int, most: int, late_us: int | None = None, idle: str | None = None) -> DataFrame:
+    """requests (client, id, us), a stream in any order: client, id, hits, allowed, revision.
+
+    Every request is answered in its batch. One that comes late changes the counts of the
+    client's later ones, which are answered again with a higher revision: the last answers
+    are those of the batch operator, whatever the order (see revised_to_end()). With
+    late_us, requests more than that behind the client's newest are left out and state
+    holds late_us and a window; else (a bounded table) all of the client's requests. With
+    idle the state of a client that sends nothing for so long goes."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
-        rows = []
-        for us, i in sorted((u, i) for b in batches for u, i in zip(b["us"], b["id"], strict=True)):
-            hits = [h for h in hits if us - h < window_us] + [us]
-            rows.append((key[0], i, len(hits), len(hits) <= most))
-        state.update((hits,))
-        yield pd.DataFrame(rows, columns=["client", "id", "hits", "allowed"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held_us, held_ids, revision = state.get if state.exists else ([], [], 0)
+        came = pd.concat([b[["us", "id"]] for b in batches])
+        us = np.concatenate([np.array(held_us, np.int64), came["us"].to_numpy(np.int64)])
+        ids = np.concatenate([np.array(held_ids, np.int64), came["id"].to_numpy(np.int64)])
+        before = np.concatenate([_hits(us[: len(held_us)], window_us), np.zeros(len(came), np.int64)])
+        if late_us is not None:
+            fresh = us >= us.max() - late_us - window_us
+            fresh[len(held_us) :] &= us[len(held_us) :] >= us.max() - late_us
+            us, ids, before = us[fresh], ids[fresh], before[fresh]
+        order = np.lexsort((ids, us))
+        us, ids, before = us[order], ids[order], before[order]
+        hits = _hits(us, window_us)
+        # what lost old requests from state keeps its answer; counts only grow otherwise
+        new = hits > before
+        state.update((us.tolist(), ids.tolist(), revision + 1))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        yield pd.DataFrame({"client": key[0], "id": ids[new], "hits": hits[new], "allowed": hits[new] <= most, "revision": revision})
 
-    return requests.groupBy("client").applyInPandasWithState(step, "client long, id long, hits long, allowed boolean", "hits array<long>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("client").applyInPandasWithState(step, ADMITTED, "us array<long>, ids array<long>, revision long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str | None = "10 minutes") -> DataFrame:
@@ -91,7 +139,7 @@ def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str | Non
     ts without a zone is taken as UTC."""
     t = events.withColumn("ts", F.col("ts").cast("timestamp"))
     t = t if late is None else t.withWatermark("ts", late)
-    return t.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    return t.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 def fragments_of(texts: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -117,6 +165,13 @@ def run_to_end(stream: DataFrame, name: str, wait_s: int = 3600) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def revised_to_end(stream: DataFrame, name: str, keys: list[str], wait_s: int = 3600) -> DataFrame:
+    """run_to_end() for rows that are answered again: each key's row of the last revision."""
+    rows = run_to_end(stream, name, wait_s)
+    rest = [c for c in rows.columns if c not in (*keys, "revision")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "revision").alias("last")).select(*keys, "last.*")
+
+
 def counts_to_end(stream: DataFrame, name: str, wait_s: int = 3600) -> DataFrame:
     """The same for counts n that grow from batch to batch: every group with its last count,
     whatever the order of the rows. Each batch writes the groups that it changed."""
@@ -149,4 +204,4 @@ def _ended(writer, base: str, name: str, wait_s: int) -> None:
         raise TimeoutError(f"{name} did not come to its end in {wait_s} s")
 
 
-__all__ = ["Feed", "admit", "counts_to_end", "detect", "fragments_of", "run_to_end", "source", "windowed_counts"]
+__all__ = ["Feed", "admit", "counts_to_end", "detect", "fragments_of", "revised_to_end", "run_to_end", "source", "windowed_counts"]
