@@ -65,14 +65,14 @@ def sse_chunks(spark, sf_dir):
 
 
 def response_envelope(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 50 = 0")
+    e = table(spark, sf_dir, "events")
     r = e.select(F.concat(F.lit("r-"), F.col("event_id")).alias("request_id"), F.lit("m").alias("model"), F.col("event_type").alias("text"), (F.col("event_id") % 100).alias("tokens"), (F.col("event_id") % 37).cast("double").alias("tok_s"), (F.col("event_id") % 2).cast("double").alias("ar"), (F.col("event_id") % 11).cast("double").alias("time_s"))
     return prompts.envelope(r)
 
 
 _ENVELOPE = """SELECT 'r-' || event_id AS request_id,
  '{"id":"r-' || event_id || '","object":"chat.completion","model":"m","choices":[{"index":0,"message":{"role":"assistant","content":"' || event_type || '"},"finish_reason":"stop"}],"usage":{"completion_tokens":' || (event_id % 100) || '},"timing":{"tok_s":' || (event_id % 37) || '.0,' || CASE WHEN event_id % 2 = 0 THEN '' ELSE '"acceptance_rate":1.0,' END || '"time_s":' || (event_id % 11) || '.0}}' AS body
-FROM events WHERE event_id % 50 = 0"""
+FROM events"""
 
 QUERIES = {f.__name__: f for f in (loop_match_counts, loop_detect_posthoc, loop_stop_first, loop_warn_all, line_jaccard_adjacent, prompt_assembly_roles, prompt_assembly_plain, no_think_suffix, content_length, sse_chunks, response_envelope)}
 

@@ -88,29 +88,30 @@ def rope_rotate(spark, sf_dir):
 
 
 def _packed(spark, sf_dir):
-    e = _embeddings(spark, sf_dir)
-    return e.select("vec_id", ((F.col("vec_id") * 2654435761 + 12345) % 4294967296).alias("word"), ((F.col("vec_id") % 7 + 1) * 0.25).cast("double").alias("scale"), ((F.col("vec_id") % 5) * -0.5).cast("double").alias("bias"))
+    """A row of 64 weights for each vector: eight packed words, four groups of 16."""
+    e, v = _embeddings(spark, sf_dir), F.col("vec_id")
+    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: ((v * 8 + j) * 2654435761 + 12345) % 4294967296)
+    scales = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda g: ((v + g) % 7 + 1) * F.lit(0.25))
+    biases = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda g: ((v + g * 2) % 5) * F.lit(-0.5))
+    return e.select("vec_id", V.dequantized(words, scales, biases).alias("w"))
 
 
 def dequantize_4bit(spark, sf_dir):
-    p = _packed(spark, sf_dir)
-    return p.select("vec_id", F.posexplode(V.dequantized(F.col("word"), F.col("scale"), F.col("bias"))).alias("idx", "val"))
+    return _packed(spark, sf_dir).select("vec_id", F.posexplode("w").alias("idx", "val"))
 
 
 def _weights(spark, sf_dir):
-    """Eight packed words are eight output rows of eight inputs."""
-    p = _packed(spark, sf_dir).filter("vec_id < 8")
-    return p.select(F.col("vec_id").alias("out"), F.posexplode(V.nibbles(F.col("word"))).alias("idx", "q"), "scale", "bias")
+    return _packed(spark, sf_dir).select(F.col("vec_id").alias("out"), "w")
 
 
 def quantized_linear(spark, sf_dir):
-    x = _embeddings(spark, sf_dir).select("vec_id", F.posexplode(_x()).alias("idx", "val")).filter("idx < 8")
-    return transformer.quantised_linear(x, _weights(spark, sf_dir), "vec_id").select("vec_id", "out", (F.round("val", 6) + F.lit(0.0)).alias("val"))
+    x = _embeddings(spark, sf_dir).select("vec_id", _x().alias("x"))
+    return transformer.linear(x, _weights(spark, sf_dir), "vec_id").select("vec_id", "out", (F.round("val", 6) + F.lit(0.0)).alias("val"))
 
 
 def final_head_topk(spark, sf_dir):
-    x = _embeddings(spark, sf_dir).select("vec_id", F.posexplode(V.rms_norm(_x(), _ramp("0.1D"))).alias("idx", "val")).filter("idx < 8")
-    logits = transformer.quantised_linear(x, _weights(spark, sf_dir), "vec_id").select("vec_id", F.col("out").alias("tok"), F.round("val", 6).alias("logit"))
+    x = _embeddings(spark, sf_dir).select("vec_id", V.rms_norm(_x(), _ramp("0.1D")).alias("x"))
+    logits = transformer.linear(x, _weights(spark, sf_dir), "vec_id").select("vec_id", F.col("out").alias("tok"), F.round("val", 6).alias("logit"))
     return selection.top_k(logits, 3)
 
 
@@ -147,7 +148,7 @@ def kv_cache_append(spark, sf_dir):
 
 def transformer_layer(spark, sf_dir):
     x, r = _x(), _ramp("0.1D")
-    out = transformer.layer(x, {"post_attention": r, "post_feedforward": r}, F.reverse(x), F.transform(x, lambda a: a * 8), F.reverse(x))
+    out = transformer.residual_stream(x, {"post_attention": r, "post_feedforward": r}, F.reverse(x), F.transform(x, lambda a: a * 8), F.reverse(x))
     return _values(_embeddings(spark, sf_dir), out)
 
 
@@ -196,7 +197,7 @@ _TOP = f"{_L}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l
 _SOFT = f"{_TOP}, x AS (SELECT vec_id, tok, exp(logit / 0.8::DOUBLE - max(logit / 0.8::DOUBLE) OVER (PARTITION BY vec_id)) AS ex FROM t), s AS (SELECT vec_id, tok, ex / sum(ex) OVER (PARTITION BY vec_id) AS p FROM x)"
 _V = "v AS (SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS idx, unnest(embedding)::DOUBLE AS val, len(embedding) AS n FROM embeddings)"
 _NORM = f"{_V}, q AS (SELECT vec_id, sqrt(sum(val * val) / max(n) + 1e-6) AS s FROM v GROUP BY vec_id), y AS (SELECT vec_id, idx, val / s * (1 + (idx % 8) * 0.1::DOUBLE) AS val FROM v JOIN q USING (vec_id))"
-_W = "p AS (SELECT vec_id, (vec_id * 2654435761 + 12345) % 4294967296 AS word, ((vec_id % 7 + 1) * 0.25)::DOUBLE AS scale, ((vec_id % 5) * -0.5)::DOUBLE AS bias FROM embeddings), nib AS (SELECT vec_id, i::INT AS idx, (word >> (i * 4)) & 15 AS q, scale, bias FROM p, range(8) g(i))"
+_W = "nib AS (SELECT vec_id, (j * 8 + i)::INT AS idx, (((vec_id * 8 + j) * 2654435761 + 12345) % 4294967296 >> (i * 4)) & 15 AS q, ((vec_id + j // 2) % 7 + 1) * 0.25::DOUBLE AS scale, ((vec_id + j // 2 * 2) % 5) * -0.5::DOUBLE AS bias FROM embeddings, range(8) a(j), range(8) g(i))"
 _H = f"{_V}, h AS (SELECT vec_id // 8 AS seq, vec_id AS pos, (idx // 16)::INT AS head, (idx % 16)::INT AS dim, val FROM v)"
 _GELU = "0.5::DOUBLE * g * (1 + tanh(sqrt(2 / pi()) * (g + 0.044715::DOUBLE * g * g * g)))"
 _F = "f AS (SELECT vec_id, vec_id % 2 AS rank, vec_id % 8 + 1 AS code, vec_id % 5 + 1 AS d, len(embedding) AS n FROM embeddings), z AS (SELECT vec_id, 28 + d * n * CASE code WHEN 1 THEN 4 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 4 WHEN 5 THEN 2 ELSE 1 END AS bytes FROM f)"
@@ -213,8 +214,8 @@ ORACLE_SQL = {
     "gelu_gate": f"WITH {_V}, w AS (SELECT a.vec_id, a.idx, a.val * 8 AS g, b.val AS u FROM v a JOIN v b ON a.vec_id = b.vec_id AND b.idx = a.n - 1 - a.idx) SELECT vec_id, idx, round({_GELU} * u, 6) + 0.0::DOUBLE AS val FROM w",
     "rope_rotate": f"WITH {_V}, a AS (SELECT vec_id, idx, val, idx % 32 AS k, vec_id % 32 * pow(CASE WHEN (vec_id % 6 + 1) % 6 = 0 THEN 1e6::DOUBLE ELSE 1e4::DOUBLE END, -2.0::DOUBLE * (idx % 32) / 64) AS t FROM v) SELECT a.vec_id, a.idx, round(CASE WHEN a.idx < 32 THEN a.val * cos(a.t) - b.val * sin(a.t) ELSE b.val * sin(a.t) + a.val * cos(a.t) END, 6) + 0.0::DOUBLE AS val FROM a JOIN a b ON a.vec_id = b.vec_id AND b.idx = (a.idx + 32) % 64",
     "dequantize_4bit": f"WITH {_W} SELECT vec_id, idx, q * scale + bias AS val FROM nib",
-    "quantized_linear": f"WITH {_V}, {_W} SELECT v.vec_id, nib.vec_id AS out, round(sum(val * (q * scale + bias)), 6) + 0.0::DOUBLE AS val FROM v JOIN nib ON nib.vec_id < 8 AND nib.idx = v.idx GROUP BY 1, 2",
-    "final_head_topk": f"WITH {_NORM}, {_W}, lg AS (SELECT y.vec_id, nib.vec_id AS tok, round(sum(val * (q * scale + bias)), 6) AS logit FROM y JOIN nib ON nib.vec_id < 8 AND nib.idx = y.idx GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, tok)::INT AS rk FROM lg) SELECT * FROM r WHERE rk <= 3",
+    "quantized_linear": f"WITH {_V}, {_W} SELECT v.vec_id, nib.vec_id AS out, round(sum(val * (q * scale + bias)), 6) + 0.0::DOUBLE AS val FROM v JOIN nib ON nib.idx = v.idx GROUP BY 1, 2",
+    "final_head_topk": f"WITH {_NORM}, {_W}, lg AS (SELECT y.vec_id, nib.vec_id AS tok, round(sum(val * (q * scale + bias)), 6) AS logit FROM y JOIN nib ON nib.idx = y.idx GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, tok)::INT AS rk FROM lg) SELECT * FROM r WHERE rk <= 3",
     "embed_scale": "WITH t AS (SELECT conv_id, turn, length(text) % 500 AS token FROM conversations), s AS (SELECT conv_id, turn, list_transform(embedding, lambda x: x::DOUBLE * sqrt(3840.0::DOUBLE)) AS v FROM t JOIN embeddings ON vec_id = token) SELECT conv_id, turn, round(v[1], 6) AS first, round(list_sum(v), 4) AS total FROM s",
     "head_reshape": f"WITH {_H} SELECT * FROM h",
     "kv_repeat": f"WITH {_H} SELECT pos, (head * 2 + r)::INT AS head, dim, val FROM h, range(2) g(r) WHERE head < 2",
