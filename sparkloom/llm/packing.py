@@ -2,12 +2,11 @@
 
 Documents become token ids; one longer than a sequence is cut into pieces. Pieces are
 dealt at random into groups; each group packs its own by best fit, largest first. Bins
-that are nearly full are final there. Of the rest, all that are at most half full and
-the `carry` emptiest others go up, where fan_in groups' bins are the items of the next
-best-fit round, and so on until one group is left. A round leaves at most one bin a
-group half full or less (two such would share a bin), so `carry` emptiest bins are
-enough to take in the small ones of 64 groups; bins that stay behind are final as they
-are, so no piece is lost. What goes up is bounded for each group, whatever the input.
+that are nearly full are final there. All others go up as items: fan_in groups' bins (as
+many groups as it takes for group_items items each) are packed in the next best-fit
+round, and so on until one group is left, or a round that could not have fewer groups
+joins less than one bin in a hundred. Bins are then final as they are, so no piece is
+lost, and no task holds more than about group_items items.
 """
 
 from __future__ import annotations
@@ -75,50 +74,56 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return whole_texts(docs).select("doc_id", "text").mapInArrow(tidy(cut), PIECES)
 
 
-def _packer(level: int, capacity: int, slack: int, carry: int):
-    """Packs one group's items (size); adds bin, at and, for bins that go up, up and fill."""
+def _packer(level: int, capacity: int, slack: int):
+    """Packs one group's items (size); adds bin, at, up (the bin isn't nearly full) and fill."""
 
     def pack(table: pa.Table) -> pa.Table:
         bins, offsets, fills = best_fit(table.column("size").to_pylist(), capacity)
-        fill = np.array(fills, np.int64)
-        open_bins = np.flatnonzero(fill < capacity - slack)
-        order = open_bins[np.argsort(fill[open_bins], kind="stable")]
-        up = np.zeros(len(fill), bool)
-        up[order[:carry]] = True
-        up[fill * 2 <= capacity] = True
-        bins_, group = np.array(bins, np.int64), table.column("g")[0].as_py()
+        fill, bins_, group = np.array(fills, np.int64), np.array(bins, np.int64), table.column("g")[0].as_py()
         keep = table.drop_columns(["g", "size"])
         keep = keep.append_column("bin", pa.array((np.int64(level) << 58) + (np.int64(group) << 26) + bins_))
         keep = keep.append_column("at", pa.array(np.array(offsets, np.int64)))
-        return keep.append_column("up", pa.array(up[bins_])).append_column("fill", pa.array(fill[bins_]))
+        return keep.append_column("up", pa.array((fill < capacity - slack)[bins_])).append_column("fill", pa.array(fill[bins_]))
 
     return pack
 
 
-def pack(items: DataFrame, capacity: int = 2048, group_items: int = 100_000, slack: int = 8, carry: int = 64, fan_in: int = 8) -> DataFrame:
-    """items with a column length (1 to capacity): adds sequence_id and offset."""
+def pack(items: DataFrame, capacity: int = 2048, group_items: int = 100_000, slack: int = 8, fan_in: int = 8) -> DataFrame:
+    """items with a column length (1 to capacity): adds sequence_id and offset. No other
+    column may be named size, g, bin, at, up or fill."""
     n = items.count()
     groups = max(1, -(-n // group_items))
     names = items.columns
     dealt = items.withColumn("size", F.col("length")).withColumn("g", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + ", bin long, at long, up boolean, fill long"
-    packed = dealt.groupBy("g").applyInArrow(_packer(0, capacity, slack, carry), out)
+    packed = dealt.groupBy("g").applyInArrow(_packer(0, capacity, slack), out)
     if groups == 1:
         return packed.select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     packed = stored(packed, "packed")
+
+    def underfull(rows: DataFrame) -> tuple[DataFrame, int]:
+        bins = rows.filter("up").select("bin", F.col("fill").alias("size")).distinct()
+        return bins, bins.count()
+
     moved = None  # bin of the first round -> its bin so far, and its place there
-    open_bins = packed.filter("up").select("bin", F.col("fill").alias("size"), F.pmod(F.shiftright("bin", 26), F.lit(1 << 31)).cast("int").alias("g")).distinct()
+    open_bins, n_open = underfull(packed)
     level = 0
-    while groups > 1:
-        level, groups = level + 1, -(-groups // fan_in)
-        step = open_bins.withColumn("g", F.floor(F.col("g") / fan_in).cast("int")).withColumnRenamed("bin", "was").groupBy("g").applyInArrow(_packer(level, capacity, slack, carry), "was long, bin long, at long, up boolean, fill long")
-        step = stored(step, "merged")
+    while groups > 1 and n_open > 1:
+        level, fewer = level + 1, max(-(-groups // fan_in), -(-n_open // group_items))
+        dealt = open_bins.withColumn("g", F.pmod(F.xxhash64(F.lit(level), "bin"), F.lit(fewer)).cast("int")).withColumnRenamed("bin", "was")
+        step = stored(dealt.groupBy("g").applyInArrow(_packer(level, capacity, slack), "was long, bin long, at long, up boolean, fill long"), "merged")
         if moved is None:
             moved = step.select(F.col("was").alias("bin0"), F.col("bin").alias("last"), F.col("at").alias("base"))
         else:
             on = step.select(F.col("was").alias("last"), F.col("bin").alias("next"), F.col("at").alias("more"))
             moved = moved.join(on, "last", "left").select("bin0", F.coalesce("next", "last").alias("last"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
-        open_bins = step.filter("up").select("bin", F.col("fill").alias("size"), F.pmod(F.shiftright("bin", 26), F.lit(1 << 31)).cast("int").alias("g")).distinct()
+        before = n_open
+        open_bins, n_open = underfull(step)
+        if fewer >= groups and n_open > 0.99 * before:
+            break
+        groups = fewer
+    if moved is None:
+        return packed.select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     rest = packed.filter("NOT up").select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     carried = packed.filter("up").join(moved.withColumnRenamed("bin0", "bin"), "bin")
     return rest.unionByName(carried.select(*names, F.col("last").alias("sequence_id"), (F.col("at") + F.col("base")).alias("offset")))

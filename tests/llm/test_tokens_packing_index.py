@@ -163,3 +163,22 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x a y b"), (2, "b a"), (3, "a x x x b"), (4, None), (5, "a")], "doc_id long, text string")
     index = decontaminate.build(docs, segment_words=3)
     assert {tuple(r) for r in decontaminate.near(index, [b"a", b"b"], 3).collect()} == {(1, 1), (2, 0)}
+
+
+def test_all_underfull_bins_go_up(spark):
+    """Halves that a group has no partners for meet others in the next rounds."""
+    lengths = [1300] * 300 + [748] * 300
+    items = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long")
+    got = packing.pack(items, group_items=60, fan_in=2).collect()
+    fills = {}
+    for r in got:
+        fills.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in fills.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(got) == 600 and len(fills) <= 315  # 300 is best
+    same = packing.pack(items.filter("length = 1300"), group_items=60, fan_in=2)  # nothing fits: rounds end
+    assert same.select("sequence_id").distinct().count() == 300
