@@ -4,10 +4,11 @@ A text's vector counts the 1- to 3-grams of its lower-cased words (with a mark a
 end), hashed to `dims` places, weighted by inverse document frequency and normalised.
 Each language has several centroids, found by spherical k-means over a bounded sample
 of labelled texts; a text gets the language of the centroid with the largest cosine.
-Texts whose best cosine is below `reject` are marked as rejected.
+A text farther from its centroid than nearly all labelled texts of the language are from
+theirs (the REJECT quantile of their cosines) is marked as rejected.
 
-Fitting bound: at most `per_language` texts a language, those with the smallest hashes
-of doc_id. Scoring covers whole texts of all rows.
+Fitting bound: at most `per_language` documents a language, those with the smallest hashes
+of doc_id; their ids are chosen without the texts. Scoring covers whole texts of all rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import held_out, tidy, whole_texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIMS = 1 << 14
+REJECT = 0.005
+SALTS = 64
 
 
 class Grams:
@@ -60,6 +63,7 @@ class Model:
     languages: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray  # a row each, normalised
+    reject: dict[str, float]  # the least cosine that a text of the language may have
 
     def cosines(self, grams: list[np.ndarray]) -> np.ndarray:
         tf = np.stack([np.bincount(g, minlength=DIMS) for g in grams]) * self.idf
@@ -81,10 +85,17 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = 400, clusters: int = 3) -> Model | None:
-    """From labelled (doc_id, text, lang; null labels and texts don't count); None if nothing is left."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id")
-    usable = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    sample = usable.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("lang", "text").collect()
+    """From labelled (doc_id, text, lang; null labels and texts don't count); None if nothing
+    is left. Rows with the same doc_id and label count once, by the least of their texts."""
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
+    lot = F.xxhash64(F.lit(8), "doc_id")
+    # first the least of each language and salt, so that no language is ranked in one task
+    ids = rows.select("lang", "doc_id", lot.alias("lot"), F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(SALTS)).alias("salt")).distinct()
+    for part in (["lang", "salt"], ["lang"]):
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("lot", "doc_id"))).filter(F.col("r") <= per_language)
+    chosen = F.broadcast(ids.select(F.col("lang").alias("of"), F.col("doc_id").alias("id")))
+    texts = rows.join(chosen, (F.col("lang") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sample = texts.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text").collect()
     grams, by_language = Grams(), {}
     for row in sorted(sample):
         if (g := grams.text(row["text"])) is not None:
@@ -93,17 +104,20 @@ def fit(labelled: DataFrame, per_language: int = 400, clusters: int = 3) -> Mode
         return None
     every = np.concatenate([np.stack(v) for v in by_language.values()])
     idf = np.log((1 + len(every)) / (1 + (every > 0).sum(0))) + 1
-    languages, centroids = [], []
+    languages, centroids, reject = [], [], {}
     for language, counts in sorted(by_language.items()):
         x = np.stack(counts) * idf
-        c = _clusters(x / np.linalg.norm(x, axis=1, keepdims=True), clusters)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        c = _clusters(x, clusters)
+        reject[language] = float(np.quantile((x @ c.T).max(1), REJECT))
         languages += [language] * len(c)
         centroids.append(c)
-    return Model(languages, idf, np.concatenate(centroids))
+    return Model(languages, idf, np.concatenate(centroids), reject)
 
 
-def predict(docs: DataFrame, model: Model | None, reject: float = 0.0) -> DataFrame:
-    """doc_id, lang_pred, score (best cosine, 0 to 1), rejected (score below `reject`).
+def predict(docs: DataFrame, model: Model | None, reject: float | None = None) -> DataFrame:
+    """doc_id, lang_pred, score (best cosine, 0 to 1), rejected (score below `reject`; by
+    default below what the model has learned for the language).
 
     Null text or one without letters: `und` with score 0, rejected; so is every row if
     there is no model. Repeated rows are predicted each."""
@@ -130,12 +144,14 @@ def predict(docs: DataFrame, model: Model | None, reject: float = 0.0) -> DataFr
                     if len(held) == 64:
                         flush()
             flush()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(langs), pa.array(scores), pa.array([x == "und" or s < reject for x, s in zip(langs, scores, strict=True)])], schema=out)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(langs), pa.array(scores), pa.array([x == "und" or s < (m.reject.get(x, 0.0) if reject is None else reject) for x, s in zip(langs, scores, strict=True)])], schema=out)
 
     return whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(score), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def identified(docs: DataFrame, **options) -> DataFrame:
-    """Fits on the rows of docs (doc_id, text, lang) that are not held out, and predicts all."""
+    """Fits on the rows of docs (doc_id, text, lang) that are not held out, and predicts all:
+    doc_id, held_out (false for a null doc_id), lang_pred, score, rejected; a row for each
+    row of docs, `und` for null texts and those without letters, none for no rows."""
     found = predict(docs, fit(docs.filter(~held_out()), **options))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
