@@ -4,10 +4,11 @@ Rows with equal texts form a group with a vector (bytes, tokens, rows). Groups,
 first, go each to the bin where the dot product of its vector with the residual
 capacity is highest. The groups are dealt at random into parts; each part fills its own
 n_shards bins, and the bins of the parts are the groups of the next level, until one
-part is left: its bins are the shards. A group with more than 1/(32 n_shards) of all
-bytes, tokens or rows is split into chunks of about that size, placed one by one, so a
-hot text never needs a task or a shard of its own; there are at most 96 n_shards such
-groups, the only thing that is broadcast.
+part is left: its bins are the shards. Equal texts stay in one shard, but for a group
+that is too large for any: one with more than 1/n_shards of all bytes, tokens or rows is
+split into chunks of about an eighth of that, placed one by one, so a hot text never needs
+a task or more than its share of a shard. There are at most 3 n_shards such groups, the
+only thing that is broadcast.
 """
 
 from __future__ import annotations
@@ -71,14 +72,14 @@ def sharded(docs: DataFrame, n_shards: int = 16, part_groups: int = 100_000, blo
     key3 = ["k", "size", "text_crc32"]
     groups = rows.groupBy(key3).agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     n, total_bytes, total_tokens, n_groups = groups.agg(F.sum("rows"), F.sum("bytes"), F.sum("tokens"), F.count("*")).first()
-    limit = 32 * n_shards
+    limit = n_shards
     share = F.greatest(*[F.col(c) * F.lit(limit) / F.lit(max(t or 0, 1)) for c, t in zip(VECTOR, (total_bytes, total_tokens, n), strict=True)])
-    large = groups.withColumn("chunks", F.ceil(share).cast("long")).filter("chunks > 1 AND rows > 1").select(*key3, "chunks")
+    large = groups.filter((share > 1) & (F.col("rows") > 1)).select(*key3, F.ceil(8 * share).cast("long").alias("chunks"))
     chunk = F.coalesce(F.pmod(F.xxhash64("rid"), F.col("chunks")), F.lit(0).cast("long"))
     rows = rows.join(F.broadcast(large), key3, "left").withColumn("chunk", chunk).drop("chunks")
     rows = rows.withColumn("unit", F.xxhash64(*_KEY))
     units = rows.groupBy("unit").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    parts = max(1, -(-(n_groups + 64 * limit) // part_groups))
+    parts = max(1, -(-n_groups // part_groups))
     moved = None
     while True:
         step = stored(_level(units, parts, n_shards), "bins")
