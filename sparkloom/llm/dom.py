@@ -36,7 +36,9 @@ ATTRIBUTES = [
 ]
 _GROUP = {w: 1 << k for k, group in enumerate(ATTRIBUTES) for w in group}
 _BAD_TAG = {"nav": 1, "menu": 1, "footer": 2, "aside": 4, "form": 8, "header": 16, "article": 32, "main": 32, "dialog": 64}
-_RAW = "script|style|noscript|template|svg|math|iframe|object|title"
+_RAW = "script|style|title"
+#: Left out with all they hold if they are closed; else only the tag is.
+_HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("noscript", "template", "svg", "math", "iframe")}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _TOKEN = re.compile(
     rf"<!--(?:.*?-->|.*)|<({_RAW})\b[^>]*>(?:.*?</\1\s*>|.*)|<(/?)([a-z][a-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|<[a-z][^>]*\Z|([^<]+|<)",
@@ -74,7 +76,11 @@ class Page:
             if link_at > len(stack):
                 link_at = 0
 
+        shown = 0  # where the last hidden element ends
+        unclosed: set[str] = set()
         for m in _TOKEN.finditer(text):
+            if m.start() < shown:
+                continue
             piece = m.group(5)
             if piece is not None:
                 if block is None:
@@ -90,6 +96,12 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
+            if name in _HIDDEN and not m.group(2) and name not in unclosed:
+                if end := _HIDDEN[name].search(text, m.end()):
+                    shown = end.end()
+                else:
+                    unclosed.add(name)
+                continue
             if name == "br":
                 if block is not None:
                     block[1].append(" ")

@@ -1,11 +1,13 @@
 """Operators 2, 6, 8, 9 and 10, and the pipeline."""
 
+import random
+
 import numpy as np
 import pytest
 
 pytest.importorskip("sparkloom.llm")
 from pyspark.sql import functions as F
-from sparkloom.llm import boosting, html_text, langid, neighbours, registry, sharding, toxicity
+from sparkloom.llm import boosting, common, html_text, langid, neighbours, registry, sharding, toxicity
 from sparkloom.llm.dom import Page, features
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +97,30 @@ def test_language(spark):
     assert all(r["rejected"] for r in langid.predict(odd(spark), model, reject=1.01).collect())
 
 
+def test_language_equals_brute_force_and_rejects(spark):
+    """Cosines, answers and rejections of the fitted model, recomputed one text at a time;
+    and texts in letters that no language has are rejected."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.filter(~common.held_out()))
+    rng = random.Random(2)
+    junk = [(10**6 + k, " ".join("".join(rng.choices("бвгджзклмнпрстфхцчш", k=7)) for _ in range(60)), None) for k in range(20)]
+    every = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    texts, grams = {r["doc_id"]: r["text"] for r in every.collect()}, langid.Grams()
+    got = {r["doc_id"]: r for r in langid.predict(every, model).collect()}
+    for i, text in texts.items():
+        g = grams.text(text)
+        if g is None:
+            assert (got[i]["lang_pred"], got[i]["rejected"]) == ("und", True)
+            continue
+        tf = np.bincount(g, minlength=langid.DIMS) * model.idf
+        cos = model.centroids @ tf / np.linalg.norm(tf)
+        assert got[i]["lang_pred"] == model.languages[int(np.argmax(cos))] and abs(got[i]["score"] - max(0, cos.max())) < 1e-6
+        assert got[i]["rejected"] == (got[i]["score"] < model.reject[got[i]["lang_pred"]])
+    assert all(got[i]["rejected"] for i, *_ in junk) and np.mean([r["rejected"] for i, r in got.items() if i < 10**6 and r["lang_pred"] != "und"]) < 0.05
+    again = langid.fit(docs.repartition(7).unionByName(docs.limit(5)).filter(~common.held_out()))
+    assert np.allclose(again.centroids, model.centroids)  # no order of rows, no repeated row matters
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5)).astype(np.float32)
@@ -127,6 +153,31 @@ def test_main_text_pages(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+def test_main_text_unclosed(spark):
+    """Hand-labelled: what an element left open holds is read, what a closed one holds is not."""
+    body = "<p>Before it comes a first paragraph that is long enough to be text.</p>{}<p>After it comes a second paragraph that is long enough, too.</p>"
+    cases = {name: f"<{name}>" for name in ("svg", "math", "iframe", "noscript", "template", "object")} | {f"{name} closed": f"<{name}>hidden words</{name}>" for name in ("svg", "math", "iframe", "noscript", "template", "script", "style")}
+    rows = [(name, f"<html><body><article>{body.format(x)}</article></body></html>") for name, x in cases.items()]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    want = "Before it comes a first paragraph that is long enough to be text.\n\nAfter it comes a second paragraph that is long enough, too."
+    assert {r["url"]: r["text"] for r in html_text.extracted(df).collect()} == {name: want for name in cases}
+
+
+def test_sharding_keeps_groups_and_balances(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = sharding.sharded(docs).join(docs, "doc_id").withColumn("tokens", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0))))
+    assert got.groupBy("text").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
+    for column in ("size", "tokens", "rows"):
+        sums = [r[1] for r in got.withColumn("rows", F.lit(1)).groupBy("shard").sum(column).collect()]
+        assert len(sums) == 16 and max(sums) <= 1.15 * min(sums), (column, sums)
+    # a third of all rows in one group: it is split, and only it
+    hot = docs.unionByName(spark.range(10_000, 10_500).select(F.col("id").alias("doc_id"), F.lit("one text " * 300).alias("text")))
+    shards = sharding.sharded(hot)
+    sizes = [r[1] for r in shards.groupBy("shard").sum("size").collect()]
+    assert max(sizes) <= 1.15 * min(sizes)
+    assert shards.filter("doc_id < 10000").join(docs, "doc_id").groupBy("text").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
+
+
 def test_sharding(spark):
     import zlib
 
