@@ -1,12 +1,16 @@
 """Operator 2: approximate nearest neighbours by cross-polytope hashing.
 
-Vectors become unit vectors in which the nearest in angle is the largest inner product
-(a data vector is divided by the largest norm and filled up by one more component, a
-query is normalised). In each of `tables` tables a fast pseudo-rotation (three rounds of
-random signs and a Hadamard transform) turns them, and a vector falls into the bucket of
-its nearest signed axis. A query looks into the `probes` buckets whose signed axes are
-nearest to it, and all found there are scored on the original vectors in double
-precision.
+Vectors become unit vectors in which the nearest in angle is the largest inner product: a
+data vector is divided by the largest norm of its band and filled up by one more
+component, a query is normalised. Bands hold norms that differ by less than STEP, so that
+the filling stays small beside the vector; a table of equal norms is one band. In each of
+`tables` tables a fast pseudo-rotation (three rounds of random signs and a Hadamard
+transform) turns them, and a vector falls into the bucket of its nearest signed axis. A
+query looks into `probes` buckets for each band, those of all bands where the product of
+norm and nearness to the signed axis is largest (bands of large norms are so looked into
+more deeply than those of small ones), and all found there are scored on the original vectors in double precision. A query that
+finds fewer than k is scored against all rows, in blocks. All this is alike for tables of
+every size.
 
 Equal vectors are one class, which keeps its least ids only: as many as a query can
 return, and one more, since ties go to smaller ids. So a vector that a third of all rows
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import stored, tidy
 
 
+STEP, BANDS = 0.85, 16  # the last band has all smaller norms
+
+
 @lru_cache(8)
 def _signs(dims: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, 3, dims))
@@ -61,6 +68,17 @@ def axes(x: np.ndarray, most: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(-np.take_along_axis(both, part, 1), 1, kind="stable"), 1)
 
 
+def probed(x: np.ndarray, tops: dict[int, float], probes: int) -> np.ndarray:
+    """Of each rotated query the buckets (band * buckets + signed axis) to look into: `probes`
+    for each band, dealt among the bands (band: largest norm) by norm times nearness."""
+    both = np.stack([x, -x], 2).reshape(len(x), -1)
+    bands, buckets = sorted(tops), both.shape[1]
+    promise = np.hstack([both * tops[k] for k in bands])
+    most = min(probes, buckets) * len(bands)
+    part = np.argpartition(-promise, most - 1, 1)[:, :most]
+    return np.array(bands)[part // buckets] * buckets + part % buckets
+
+
 def _matrix(column, dims: int) -> np.ndarray:
     """Doubles of a column of arrays, filled with zeros to dims."""
     rows = [np.asarray(v, np.float64) for v in column.to_pylist()]
@@ -77,13 +95,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(F.col("vec_id").isNotNull() & e.isNotNull()).filter(good & some)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 6, probes: int = 24, block_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: int = 28, block_rows: int = 8192) -> DataFrame:
     """For each row of vectors (vec_id, embedding) that fulfils is_query: its k nearest
     other rows found, as query_id, rank (from 1), vec_id, score (inner product).
 
     Rows that usable() leaves out take no part. Repeated vec_ids are one row each; a
-    query never finds rows of its own id. Fewer than k candidates found give fewer rows,
-    unless there are at most block_rows classes: then all are looked at."""
+    query never finds rows of its own id. A query has fewer than k rows only if there are no
+    more others."""
     rows = usable(vectors).withColumns({"k1": F.xxhash64("embedding"), "k2": F.hash("embedding")})
     first = Window.partitionBy("k1", "k2").orderBy("vec_id")
     least = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
@@ -97,8 +115,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 6, probes: i
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     buckets = 2 * (1 << max(1, dims).bit_length())  # of the vectors with one component more
-    if n <= block_rows:
-        tables, probes = 1, buckets
+    band = F.least(F.floor(F.log(norm / F.lit(longest)) / F.lit(float(np.log(STEP)))).cast("int"), F.lit(BANDS - 1))
+    tops = {r["band"]: r["top"] for r in classes.groupBy(band.alias("band")).agg(F.max(norm).alias("top")).collect()}
     posting = pa.schema([("t", pa.int32()), ("bucket", pa.int32()), ("query", pa.bool_()), ("c", pa.int64()), ("least", pa.int64()), ("v", pa.binary())])
 
     def post(batches):
@@ -109,25 +127,30 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 6, probes: i
                 c, least, ask = b.column("c").to_numpy(), b.column("least").to_numpy(), np.array(b.column("asked").to_pylist())
                 raw = np.array([v.tobytes() for v in x], object)
                 size = np.linalg.norm(x, axis=1, keepdims=True)
-                data = np.hstack([x / longest, np.sqrt(np.maximum(0, 1 - (size / longest) ** 2))])
+                own = b.column("band").to_numpy()
+                top = np.array([tops[k] for k in own.tolist()])[:, None]
+                data = np.hstack([x / top, np.sqrt(np.maximum(0, 1 - (size / top) ** 2))])
                 query = np.hstack([x / size, np.zeros((len(x), 1))])[ask]
                 for t in range(tables):
-                    at = axes(rotated(data, t, tables), 1)[:, 0]
+                    at = axes(rotated(data, t, tables), 1)[:, 0] + own * buckets
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.zeros(len(x), bool)), pa.array(c), pa.array(least), pa.array(raw, pa.binary())], schema=posting)
                     if len(query):
-                        near = axes(rotated(query, t, tables), probes)
+                        near = probed(rotated(query, t, tables), tops, probes)
                         m = near.shape[1]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(near.size, t, np.int32)), pa.array(near.ravel().astype(np.int32)), pa.array(np.ones(near.size, bool)), pa.array(np.repeat(c[ask], m)), pa.array(np.repeat(least[ask], m)), pa.array(np.repeat(raw[ask], m), pa.binary())], schema=posting)
 
-    posted = classes.withColumn("least", F.col("ids")[0]).select("c", "least", "asked", "embedding").mapInArrow(tidy(post), "t int, bucket int, query boolean, c long, least long, v binary")
-    # one row for a bucket: tables * buckets of them at most
+    posted = classes.select("c", F.col("ids")[0].alias("least"), "asked", "embedding", band.alias("band")).mapInArrow(tidy(post), "t int, bucket int, query boolean, c long, least long, v binary")
+    def in_blocks(posted: DataFrame, blocks: DataFrame) -> DataFrame:
+        """posted, dealt: each block of a bucket's queries meets each block of its data."""
+        spread = F.when(F.col("query"), F.sequence(F.lit(0), F.col("nd") - 1)).otherwise(F.sequence(F.lit(0), F.col("nq") - 1))
+        dealt = posted.join(F.broadcast(blocks), ["t", "bucket"]).withColumn("other", F.explode(spread))
+        qb = F.when(F.col("query"), F.pmod(F.xxhash64("c"), F.col("nq"))).otherwise(F.col("other"))
+        db = F.when(F.col("query"), F.col("other")).otherwise(F.pmod(F.xxhash64("c"), F.col("nd")))
+        return dealt.select("t", "bucket", qb.alias("qb"), db.alias("db"), "query", "c", "least", "v")
+
+    # one row for a bucket: tables * buckets * bands of them at most
     blocks = posted.groupBy("t", "bucket").agg(F.ceil(F.count_if("query") / block_rows).alias("nq"), F.ceil(F.count_if(~F.col("query")) / block_rows).alias("nd"))
-    blocks = blocks.filter("nq > 0 AND nd > 0")
-    spread = F.when(F.col("query"), F.sequence(F.lit(0), F.col("nd") - 1)).otherwise(F.sequence(F.lit(0), F.col("nq") - 1))
-    dealt = posted.join(F.broadcast(blocks), ["t", "bucket"]).withColumn("other", F.explode(spread))
-    qb = F.when(F.col("query"), F.pmod(F.xxhash64("c"), F.col("nq"))).otherwise(F.col("other"))
-    db = F.when(F.col("query"), F.col("other")).otherwise(F.pmod(F.xxhash64("c"), F.col("nd")))
-    dealt = dealt.select("t", "bucket", qb.alias("qb"), db.alias("db"), "query", "c", "least", "v")
+    dealt = in_blocks(posted, blocks.filter("nq > 0 AND nd > 0"))
     found = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("score", pa.float64()), ("least", pa.int64())])
 
     def best(table: pa.Table) -> pa.Table:
@@ -151,10 +174,24 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 6, probes: i
                 col.append(add)
         return pa.Table.from_arrays([pa.array(np.concatenate(col) if col else [], t) for col, t in zip(out, found.types, strict=True)], schema=found)
 
-    pairs = dealt.groupBy("t", "bucket", "qb", "db").applyInArrow(best, "q long, c long, score double, least long")
-    pairs = pairs.groupBy("q", "c").agg(F.max("score").alias("score"), F.first("least").alias("least"))
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "least")
-    pairs = pairs.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1)
+    result, top = "q long, c long, score double, least long", Window.partitionBy("q").orderBy(F.desc("score"), "least")
+
+    def bests(dealt: DataFrame) -> DataFrame:
+        pairs = dealt.groupBy("t", "bucket", "qb", "db").applyInArrow(best, result)
+        pairs = pairs.groupBy("q", "c").agg(F.max("score").alias("score"), F.first("least").alias("least"))
+        return pairs.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1).select("q", "c", "score")
+
+    pairs = stored(bests(dealt), "nearest")
+    # a query's own class may hold no other row, so k + 1 ids are enough
+    enough = pairs.join(classes.select("c", F.size("ids").alias("n")), "c").groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") > k).select("q")
+    short = stored(classes.filter("asked").select(F.col("c").alias("q")).join(enough, "q", "left_anti"), "short")
+    n_short = short.count()
+    if n_short:
+        once = posted.filter("t = 0")
+        ask = once.filter("query").join(short.select(F.col("q").alias("c")), "c", "left_semi").dropDuplicates(["c"])
+        every = once.filter("NOT query").unionByName(ask).withColumns({"t": F.lit(-1), "bucket": F.lit(0)})
+        all_blocks = vectors.sparkSession.createDataFrame([(-1, 0, -(-n_short // block_rows), -(-n // block_rows))], "t int, bucket int, nq long, nd long")
+        pairs = pairs.join(short, "q", "left_anti").unionByName(bests(in_blocks(every, all_blocks)))
     ids = pairs.join(classes.select("c", "ids"), "c").groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "c", "ids"))).alias("near"))
     each = F.array_sort(F.flatten(F.transform("near", lambda y: F.transform(y["ids"], lambda i: F.struct(y["s"].alias("s"), i.alias("id"))))))
     answers = asked.withColumn("q", F.xxhash64("k1", "k2")).join(ids.select("q", each.alias("near")), "q")
