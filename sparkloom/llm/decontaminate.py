@@ -14,6 +14,8 @@ places where all words of a set stand within a span.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,7 +93,7 @@ def build(docs: DataFrame, segment_words: int = 400_000) -> DataFrame:
 
 
 def phrases_of(text: str | bytes | None, window: int) -> list[tuple[bytes, ...]]:
-    """All runs of `window` words; of fewer words, but not none, the one phrase of all."""
+    """All runs of `window` words of one text, as windows() has them; of fewer words, but not none, the one phrase of all."""
     found = words(text)
     if not found:
         return []
@@ -117,16 +119,21 @@ SPANS = "segment long, place long, doc_id long, n_words long, hits binary, items
 
 
 def search(index: DataFrame, items: list[tuple[int, list[tuple[bytes, ...]]]]) -> DataFrame:
-    """A row for each document: doc_id, n_words, hits (int32 pairs: first word and word
-    after the last of each hit run, ascending, not overlapping) and items, ascending.
+    """A row for each document: segment and place (where the index has it), doc_id, n_words,
+    hits (int32 pairs: first word and word after the last of each hit run, ascending, not
+    overlapping) and items, ascending.
 
-    items: the query set, (item_id, phrases); its size is the caller's to bound (see
-    contamination(), which deals a larger one in blocks)."""
-    spark = index.sparkSession
+    items: (item_id, phrases as tuples of words). They are held by the driver and every
+    task, so their number is the caller's to bound (contamination() deals them in blocks)."""
     phrases: dict[tuple[bytes, ...], list[int]] = {}
     for item_id, its in items:
         for p in its:
             phrases.setdefault(p, []).append(item_id)
+    return _found(index, phrases)
+
+
+def _found(index: DataFrame, phrases: dict[tuple[bytes, ...], list[int]]) -> DataFrame:
+    spark = index.sparkSession
     vocabulary = spark.createDataFrame([(bytearray(w),) for w in {w for p in phrases for w in p}], "word binary")
     needed = index.filter("word IS NOT NULL").join(F.broadcast(vocabulary), "word", "left_semi")
     counts = {bytes(r["word"]): r["n"] for r in needed.groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -220,23 +227,38 @@ def near(index: DataFrame, query: list[bytes], span: int) -> DataFrame:
     return rows.groupBy("segment").applyInArrow(match, "doc_id long, first long")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_bytes: int = 32 << 20) -> DataFrame:
+_UPPER = "".join(map(chr, range(65, 91)))
+
+
+def windows(items: DataFrame, window: int) -> DataFrame:
+    """phrase (array of words), who: the distinct phrases_of() the texts of items (item_id,
+    item_text), each with the items that have it."""
+    lower = F.translate("item_text", _UPPER, _UPPER.lower())
+    said = items.select("item_id", F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    firsts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
+    each = said.select("item_id", "w", F.explode(firsts).alias("at")).select("item_id", F.slice("w", F.col("at"), F.lit(window)).alias("phrase"))
+    return each.groupBy("phrase").agg(F.collect_set("item_id").alias("who"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_phrases: int = 200_000) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit, n_items, items (ascending item_ids),
     hits (as in search()), contaminated: n_hit > 0 and n_hit >= share * n_words.
 
-    The benchmark is taken in blocks of at most about block_bytes of text, so what a
-    task holds of it is bounded; a document's hits are united over the blocks. Null or
-    wordless texts and items have no hits. Repeated rows are judged each; of repeated
-    item_ids the texts' windows count for that item; items without an id are left out."""
+    The benchmark's phrases are made in Spark and searched for in blocks of about
+    block_phrases, so what the driver and a task hold of it does not grow with it; a
+    document's hits are united over the blocks. Null or wordless texts and items have no
+    hits. Repeated rows are judged each; of repeated item_ids the texts' windows count for
+    that item; items without an id are left out."""
     index = build(docs)
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).filter("item_id IS NOT NULL AND item_text IS NOT NULL")
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_bytes))
+    phrases = windows(tests, window)
+    phrases = stored(phrases.select("phrase", F.array_sort("who").alias("who"), F.xxhash64("phrase").alias("lot")), "phrases")
+    n_blocks = max(1, -(-phrases.count() // block_phrases))
     found = None
     for k in range(n_blocks):
-        part = tests.filter(F.pmod(F.xxhash64("item_text"), F.lit(n_blocks)) == k) if n_blocks > 1 else tests
-        items = [(r["item_id"], phrases_of(r["item_text"], window)) for r in part.toLocalIterator()]
-        block = search(index, items)
+        part = phrases.filter(F.pmod("lot", F.lit(n_blocks)) == k) if n_blocks > 1 else phrases
+        word = lru_cache(None)(str.encode)  # one copy of a word that stands in many phrases
+        block = _found(index, {tuple(map(word, r["phrase"])): r["who"] for r in part.toLocalIterator()})
         if n_blocks > 1:
             block = stored(block, "hits")
         found = block if found is None else found.unionByName(block)

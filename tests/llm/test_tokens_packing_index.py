@@ -151,8 +151,8 @@ def test_contamination_odd_rows_and_blocks(spark):
     docs = odd_docs(spark).union(spark.createDataFrame([(90, "b c d e b c d e. B, c", "", "", 0), (91, "c d", "", "", 0), (92, "d", "", "", 0)], "doc_id long, text string, lang string, source string, start long"))
     bench = spark.createDataFrame([(1, "c D e b"), (1, "b c"), (2, ""), (3, None), (10, "d"), (None, "c d")], "item_id long, text string")
     want = brute_contamination([(r[0], r[1]) for r in docs.collect()], [tuple(r) for r in bench.collect() if r[0] is not None], 3)
-    for block_bytes in (1 << 20, 2):
-        got = decontaminate.contamination(docs, bench, window=3, block_bytes=block_bytes)
+    for block_phrases in (1 << 20, 2):
+        got = decontaminate.contamination(docs, bench, window=3, block_phrases=block_phrases)
         rows = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], hashlib.sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest(), r["contaminated"]) for r in got.collect()]
         assert sorted(rows, key=str) == want
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
@@ -182,3 +182,14 @@ def test_all_underfull_bins_go_up(spark):
     assert len(got) == 600 and len(fills) <= 315  # 300 is best
     same = packing.pack(items.filter("length = 1300"), group_items=60, fan_in=2)  # nothing fits: rounds end
     assert same.select("sequence_id").distinct().count() == 300
+
+
+def test_windows_are_the_phrases_of_each_text(spark):
+    texts = [None, "", "..", "One two", "A-b c1 É日 x" * 9, "\x7fa\x80b " * 20, "same words here " * 30, "İstanbul STRASSE ſ K"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, item_text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for p in decontaminate.phrases_of(t, 13):
+            want.setdefault(p, set()).add(i)
+    got = {tuple(w.encode() for w in r["phrase"]): set(r["who"]) for r in decontaminate.windows(items.filter("item_text IS NOT NULL"), 13).collect()}
+    assert got == want
