@@ -20,9 +20,11 @@ ALNUM = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local
-    temporary folder where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary
+    folder where that is unset and all run on one machine; elsewhere an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(base)

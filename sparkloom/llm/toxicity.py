@@ -332,16 +332,20 @@ def keep_below(docs: DataFrame, model: Model | None, threshold: float) -> DataFr
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, **options) -> Model | None:
     """The model of labelled rows that are not held out: of each class those `per_class`
-    labels with the smallest hashes of doc_id. Only their ids are broadcast and only
-    their texts leave the documents' place."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL").filter(~held_out()).distinct()
+    labels with the smallest hashes of doc_id. A doc_id with both labels counts as toxic, of
+    its texts the least is learned from. Only their ids are broadcast and only their texts
+    leave the documents' place. None if there are no such rows."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = [bounded_sample(marks.filter(F.col("toxic") == y), per_class) for y in (0, 1)]
     chosen = F.broadcast(sample[0].unionByName(sample[1]).withColumnRenamed("doc_id", "_id"))
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
-    return fit(rows.groupBy("doc_id", "toxic").agg(F.first("text").alias("text")), **options)
+    return fit(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), **options)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from `threshold` on)."""
+    """doc_id, held_out, score, predicted (1 from `threshold` on), a row for each row of docs
+    (doc_id, text, any others), repeated ones too; held_out is false for a null doc_id, and a
+    null text is scored as an empty one. Without labels every score is 0."""
     found = score(docs, fitted(docs, labels, **options))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
