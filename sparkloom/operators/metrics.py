@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.session import settled
@@ -56,7 +56,7 @@ def gaps(events: DataFrame, by: str, longer_than: int) -> DataFrame:
 def least_recent(events: DataFrame, by, keep: int) -> DataFrame:
     """slot, last_us, evicted: all but the `keep` slots used last."""
     used = events.groupBy(by.alias("slot")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last_us"))
-    return used.withColumn("evicted", F.row_number().over(Window.orderBy(F.desc("last_us"), "slot")) > keep)
+    return _numbered(used, [F.desc("last_us"), F.col("slot")]).withColumn("evicted", F.col("_n") >= keep).drop("_n")
 
 
 def batches(requests: DataFrame, order: list, length: str, size: int) -> DataFrame:
@@ -82,11 +82,29 @@ def outcomes(requests: DataFrame, by, failed) -> DataFrame:
     return requests.groupBy(by.alias("batch")).agg(F.count("*").alias("n"), F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed"))
 
 
-def consensus(votes: DataFrame, by: str, answer: str, truth: str) -> DataFrame:
-    """votes (by, question, voter answers a and b, truth): share of agreement, and how often
-    an agreed answer is right."""
-    agreed = F.col(answer) == F.col(truth)
-    return votes.groupBy(by).agg(F.count("*").alias("questions"), F.round(F.avg(agreed.cast("double")), 6).alias("consensus_rate"), F.round(F.avg(F.when(agreed, F.col(answer).cast("double"))), 6).alias("positive_when_agreed"))
+def consensus(votes: DataFrame, by: str) -> DataFrame:
+    """votes (by, a, b, arbiter, truth): two voters answer, and an arbiter where they differ
+    (or one is silent). For each `by` the questions, how many were arbitrated, the share of
+    agreement, and how often the final answer is right: over all, and where they agreed."""
+    agreed = F.coalesce(F.col("a") == F.col("b"), F.lit(False))
+    judged = votes.withColumns({"agreed": agreed, "right": F.coalesce(F.when(agreed, F.col("a")).otherwise(F.col("arbiter")) == F.col("truth"), F.lit(False)).cast("double")})
+    share = {"consensus_rate": F.col("agreed").cast("double"), "accuracy": F.col("right"), "accuracy_agreed": F.when(F.col("agreed"), F.col("right"))}
+    return judged.groupBy(by).agg(F.count("*").alias("questions"), F.count_if(~F.col("agreed")).alias("arbitrated"), *[F.round(F.avg(c), 6).alias(n) for n, c in share.items()])
+
+
+def results_in_order(items: DataFrame, batch: str, order: str, result: Column, problem: Column) -> DataFrame:
+    """A row for each batch: its items' results in order, each by itself: a problem (not
+    null) makes that item an error and leaves the others as they are."""
+    one = F.struct(F.col(order), problem.isNull().alias("ok"), F.when(problem.isNull(), result).alias("result"), problem.alias("error"))
+    found = items.groupBy(batch).agg(F.array_sort(F.collect_list(one)).alias("results"))
+    failed = F.size(F.filter("results", lambda r: ~r["ok"]))
+    return found.select(batch, "results", (F.size("results") - failed).alias("succeeded"), failed.alias("failed"))
+
+
+def accepted(requests: DataFrame, size: Column, most: int) -> DataFrame:
+    """requests with status: 413 for a batch of more than `most`, 400 for an empty one, else 200."""
+    n = F.coalesce(size, F.lit(0))
+    return requests.withColumn("status", F.when(n > most, 413).when(n <= 0, 400).otherwise(200))
 
 
 def exposition(counts: DataFrame, name: str, label: str, value: str) -> DataFrame:

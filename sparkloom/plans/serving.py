@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from sparkloom.operators import admission, capacity, metrics
 from sparkloom.sources.tables import table, values
 
-MODELS = "('qwen3-4b', 'standalone', 7.8D, 1.0D, 12.0D), ('qwen3-4b', 'dflash', 7.8D, 1.0D, 42.0D), ('gemma-3-12b', 'standalone', 6.9D, NULL, 3.5D), ('gemma-3-12b', 'pipeline', 6.9D, NULL, 7.0D), ('qwen3-8b', 'pipeline', 15.5D, NULL, 5.0D)"
+MODELS = "('small-4b', 'standalone', 7.5D, 1.2D, 11.0D), ('small-4b', 'dflash', 7.5D, 1.2D, 40.0D), ('mid-12b', 'standalone', 7.1D, NULL, 4.0D), ('mid-12b', 'pipeline', 7.1D, NULL, 8.0D), ('mid-8b', 'pipeline', 15.0D, NULL, 6.0D)"
 _MODEL_COLUMNS = "model, mode, size_gb, draft_size_gb, tok_s"
 HARDWARE = "('r0', 16.0D), ('r1', 16.0D), ('mid', 32.0D), ('large', 48.0D)"
-MODE_REQUESTS = "(1, 'qwen3-4b', 'dflash'), (2, 'qwen3-4b', 'pipeline'), (3, 'qwen3-8b', 'pipeline'), (4, 'unknown', 'standalone')"
+MODE_REQUESTS = "(1, 'small-4b', 'dflash'), (2, 'small-4b', 'pipeline'), (3, 'mid-8b', 'pipeline'), (4, 'unknown', 'standalone')"
 AUTH = "(1, 'Bearer good', CAST(NULL AS STRING)), (2, 'Bearer bad', 'good'), (3, NULL, 'good'), (4, NULL, NULL), (5, 'Basic good', 'other'), (6, '', 'other')"
 KEYS = "('good'), ('other')"
-ROUTES = "('view', 'qwen3.6:35b-a3b-coding-nvfp4', 0.3D, 32768), ('click', 'qwen3.6:35b-a3b', 0.6D, 32768), ('purchase', 'gemma4:31b', 0.7D, 32768), ('signup', 'bge-m3:latest', CAST(NULL AS DOUBLE), CAST(NULL AS INT))"
-DEFAULT_MODEL = "qwen3.6:35b-a3b"
+ROUTES = "('view', 'coder-30b', 0.25D, 16384), ('click', 'general-30b', 0.5D, 8192), ('purchase', 'writer-30b', 0.8D, 4096), ('signup', 'embedder', CAST(NULL AS DOUBLE), CAST(NULL AS INT))"
+DEFAULT_MODEL = "general-30b"
 
 
 def _sql(rows: str) -> str:
@@ -77,8 +77,10 @@ def model_modes(spark, sf_dir):
 
 
 def config_fallback(spark, sf_dir):
-    rows = values(spark, "(1, '', 'pipeline'), (2, 'dflash', 'pipeline'), (3, CAST(NULL AS STRING), '')", "req, cli, configured")
-    return rows.select("req", capacity.chosen(["cli", "configured"], "standalone").alias("mode"))
+    i = F.col("event_id")
+    given = F.when(i % 3 == 0, F.col("event_type")).when(i % 3 == 1, F.lit(""))
+    rows = table(spark, sf_dir, "events").select(i, given.alias("cli"), F.when(i % 2 == 0, "pipeline").otherwise("").alias("configured"))
+    return rows.select("event_id", capacity.chosen(["cli", "configured"], "standalone").alias("mode"))
 
 
 def intent_routing(spark, sf_dir):
@@ -133,7 +135,9 @@ def batch_outcomes(spark, sf_dir):
 
 def consensus_vote(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return metrics.consensus(table(spark, sf_dir, "labels").join(d, "doc_id"), "lang", "quality", "toxic")
+    i = F.col("doc_id")
+    votes = table(spark, sf_dir, "labels").join(d, "doc_id").select("lang", F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"), (i % 3 % 2).cast("int").alias("arbiter"), (i % 2).cast("int").alias("truth"))
+    return metrics.consensus(votes, "lang")
 
 
 _RATE = "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS hits FROM events"
@@ -156,7 +160,7 @@ ORACLE_SQL = {
     "memory_guard": f"WITH m({_MODEL_COLUMNS}) AS (VALUES {_sql(MODELS)}), h(node, ram_gb) AS (VALUES {_sql(HARDWARE)}), g AS (SELECT model, mode, node, CASE mode WHEN 'pipeline' THEN size_gb / 2 WHEN 'dflash' THEN size_gb + coalesce(draft_size_gb, 1.0) ELSE size_gb END AS needed, ram_gb * CASE WHEN ram_gb >= 48 THEN 0.60::DOUBLE WHEN ram_gb >= 32 THEN 0.70::DOUBLE ELSE 0.85::DOUBLE END - 4.0::DOUBLE - 2.0::DOUBLE AS usable FROM m, h) SELECT model, mode, node, round(needed, 6) AS needed_gb, round(usable, 6) AS usable_gb, needed <= usable AS fits FROM g",
     "mode_validation": f"WITH m({_MODEL_COLUMNS}) AS (VALUES {_sql(MODELS)}), r(req, model, mode) AS (VALUES {MODE_REQUESTS}) SELECT req, model, mode, CASE WHEN model NOT IN (SELECT model FROM m) THEN 'unknown model' WHEN (model, mode) NOT IN (SELECT (model, mode) FROM m) THEN 'unsupported mode' ELSE 'ok' END AS outcome FROM r",
     "model_modes": f"WITH m({_MODEL_COLUMNS}) AS (VALUES {_sql(MODELS)}) SELECT model, mode, size_gb, tok_s FROM m",
-    "config_fallback": "SELECT * FROM (VALUES (1, 'pipeline'), (2, 'dflash'), (3, 'standalone')) t(req, mode)",
+    "config_fallback": "SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_type <> '' THEN event_type WHEN event_id % 2 = 0 THEN 'pipeline' ELSE 'standalone' END AS mode FROM events",
     "intent_routing": f"WITH r(intent, model, temperature, num_ctx) AS (VALUES {_sql(ROUTES)}) SELECT coalesce(r.model, '{DEFAULT_MODEL}') AS model, count(*) AS n, count(DISTINCT user_id) AS clients FROM events e LEFT JOIN r ON r.intent = e.event_type GROUP BY 1",
     "request_histogram": f"{_HIST} SELECT * FROM hist",
     "histogram_quantile": f"{_HIST}, o AS (SELECT *, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(n) OVER w, 0) AS below, max(n) OVER (PARTITION BY event_type) * 0.95::DOUBLE AS want FROM hist WINDOW w AS (PARTITION BY event_type ORDER BY le NULLS LAST)), f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY le NULLS LAST) AS r FROM o WHERE n >= want AND n > 0) SELECT event_type, round(CASE WHEN le IS NULL THEN lo ELSE lo + (le - lo) * (want - below) / (n - below) END, 6) AS value FROM f WHERE r = 1",
@@ -168,5 +172,7 @@ ORACLE_SQL = {
     "batch_padding": _BATCH.format("conv_id, turn"),
     "batch_padding_by_length": _BATCH.format("length(text), conv_id, turn"),
     "batch_outcomes": "SELECT event_id // 32 AS batch, count(*) AS n, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1",
-    "consensus_vote": "SELECT lang, count(*) AS questions, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS consensus_rate, round(avg(CASE WHEN quality = toxic THEN quality::DOUBLE END), 6) AS positive_when_agreed FROM labels JOIN documents USING (doc_id) GROUP BY lang",
+    "consensus_vote": """WITH v AS (SELECT lang, quality AS a, 1 - toxic AS b, (doc_id % 3 % 2)::INT AS c, (doc_id % 2)::INT AS t FROM labels JOIN documents USING (doc_id)),
+ f AS (SELECT *, a = b AS agreed, CASE WHEN a = b THEN a ELSE c END AS final FROM v)
+ SELECT lang, count(*) AS questions, count(*) FILTER (NOT agreed) AS arbitrated, round(avg(CASE WHEN agreed THEN 1.0 ELSE 0.0 END), 6) AS consensus_rate, round(avg(CASE WHEN final = t THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN agreed THEN CASE WHEN final = t THEN 1.0 ELSE 0.0 END END), 6) AS accuracy_agreed FROM f GROUP BY lang""",
 }

@@ -21,8 +21,11 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (one machine), a temporary folder."""
+    """spark.checkpoint.dir; where that is unset and all run on one machine, a temporary
+    folder; elsewhere an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
     if not spark.sparkContext.getCheckpointDir():
