@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def chosen(columns: list[str], literal: str):
 def routed(requests: DataFrame, routes: DataFrame, default_model: str, intent: str = "intent") -> DataFrame:
     """requests with the model of their intent, or the default. routes is a small registry."""
     return requests.join(F.broadcast(routes), intent, "left").withColumn("model", F.coalesce("model", F.lit(default_model)))
+
+
+def backend(mode: Column, llama: bool = True) -> Column:
+    """The backend of a configured mode: unknown and missing modes are served standalone,
+    and without the llama library its mode is an error."""
+    missing = F.raise_error(F.lit("the llama library is not installed")).cast("string")
+    named = F.when(mode == "dflash", "draft").when(mode == "pipeline", "pipeline").when(mode == "llama", F.lit("llama") if llama else missing)
+    return named.otherwise("standalone")

@@ -31,6 +31,15 @@ def last_message(messages: DataFrame, model: Column, thinking: bool = False, key
     return last.select(key, "model", "role", F.when(off, F.concat(rstrip(F.col("text")), F.lit(" /no_think"))).otherwise(F.col("text")).alias("text"))
 
 
+def flattened(chats: DataFrame, key: str, history: str = "history", message: str = "message") -> DataFrame:
+    """key, idx, role, content: a chat's history (an array of structs user, assistant) and
+    its new message as one list of messages. An exchange without answer has no assistant."""
+    said = F.flatten(F.transform(history, lambda x: F.array(F.struct(F.lit("user").alias("role"), x["user"].alias("content")), F.struct(F.lit("assistant").alias("role"), x["assistant"].alias("content")))))
+    kept = F.filter(said, lambda m: (m["role"] == "user") | (F.coalesce(m["content"], F.lit("")) != ""))
+    every = F.concat(kept, F.array(F.struct(F.lit("user").alias("role"), F.col(message).alias("content"))))
+    return chats.select(key, F.posexplode(every).alias("idx", "m")).select(key, "idx", "m.role", "m.content")
+
+
 def lengths(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     return messages.groupBy(key).agg(F.count("*").alias("n_messages"), F.sum(F.length("text")).alias("total_chars"))
 

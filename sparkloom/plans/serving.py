@@ -83,6 +83,12 @@ def config_fallback(spark, sf_dir):
     return rows.select("event_id", capacity.chosen(["cli", "configured"], "standalone").alias("mode"))
 
 
+def backend_dispatch(spark, sf_dir):
+    modes = F.array(*map(F.lit, ("dflash", "pipeline", "llama", "standalone", "other", None)))
+    e = table(spark, sf_dir, "events").withColumn("mode", F.get(modes, (F.col("event_id") % 6).cast("int")))
+    return e.select("event_id", "mode", capacity.backend(F.col("mode")).alias("backend"))
+
+
 def intent_routing(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "intent")
     return capacity.routed(e, values(spark, ROUTES, "intent, model, temperature, num_ctx"), DEFAULT_MODEL).groupBy("model").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("clients"))
@@ -144,7 +150,7 @@ _RATE = "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY
 _HIST = "WITH b(le) AS (VALUES (0.1::DOUBLE), (0.5), (1.0), (2.0), (5.0), (10.0), (30.0), (60.0), (120.0), (NULL)) , hist AS (SELECT event_type, b.le, count(*) FILTER (b.le IS NULL OR value <= b.le) AS n FROM events, b GROUP BY ALL)"
 _BATCH = "SELECT batch, count(*) AS n, max(len) AS longest, sum(len)::BIGINT AS total, (count(*) * max(len) - sum(len))::BIGINT AS padding FROM (SELECT length(text) AS len, (row_number() OVER (ORDER BY {}) - 1) // 7 AS batch FROM conversations) GROUP BY batch"
 
-QUERIES = {f.__name__: f for f in (rate_limit_verdicts, rate_limit_by_client, request_validation, auth_outcomes, model_listing, health_status, throughput, memory_guard, mode_validation, model_modes, config_fallback, intent_routing, request_histogram, histogram_quantile, metrics_exposition, error_rate_5m, idle_sessions, heartbeat_gaps, lru_eviction, batch_padding, batch_padding_by_length, batch_outcomes, consensus_vote)}
+QUERIES = {f.__name__: f for f in (rate_limit_verdicts, rate_limit_by_client, request_validation, auth_outcomes, model_listing, health_status, throughput, memory_guard, mode_validation, model_modes, config_fallback, backend_dispatch, intent_routing, request_histogram, histogram_quantile, metrics_exposition, error_rate_5m, idle_sessions, heartbeat_gaps, lru_eviction, batch_padding, batch_padding_by_length, batch_outcomes, consensus_vote)}
 
 ORACLE_SQL = {
     "rate_limit_verdicts": f"SELECT *, hits <= 2 AS allowed FROM ({_RATE})",
@@ -160,6 +166,7 @@ ORACLE_SQL = {
     "memory_guard": f"WITH m({_MODEL_COLUMNS}) AS (VALUES {_sql(MODELS)}), h(node, ram_gb) AS (VALUES {_sql(HARDWARE)}), g AS (SELECT model, mode, node, CASE mode WHEN 'pipeline' THEN size_gb / 2 WHEN 'dflash' THEN size_gb + coalesce(draft_size_gb, 1.0) ELSE size_gb END AS needed, ram_gb * CASE WHEN ram_gb >= 48 THEN 0.60::DOUBLE WHEN ram_gb >= 32 THEN 0.70::DOUBLE ELSE 0.85::DOUBLE END - 4.0::DOUBLE - 2.0::DOUBLE AS usable FROM m, h) SELECT model, mode, node, round(needed, 6) AS needed_gb, round(usable, 6) AS usable_gb, needed <= usable AS fits FROM g",
     "mode_validation": f"WITH m({_MODEL_COLUMNS}) AS (VALUES {_sql(MODELS)}), r(req, model, mode) AS (VALUES {MODE_REQUESTS}) SELECT req, model, mode, CASE WHEN model NOT IN (SELECT model FROM m) THEN 'unknown model' WHEN (model, mode) NOT IN (SELECT (model, mode) FROM m) THEN 'unsupported mode' ELSE 'ok' END AS outcome FROM r",
     "model_modes": f"WITH m({_MODEL_COLUMNS}) AS (VALUES {_sql(MODELS)}) SELECT model, mode, size_gb, tok_s FROM m",
+    "backend_dispatch": "WITH m AS (SELECT event_id, ['dflash', 'pipeline', 'llama', 'standalone', 'other', NULL][event_id % 6 + 1] AS mode FROM events) SELECT event_id, mode, CASE WHEN mode = 'dflash' THEN 'draft' WHEN mode IN ('pipeline', 'llama') THEN mode ELSE 'standalone' END AS backend FROM m",
     "config_fallback": "SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_type <> '' THEN event_type WHEN event_id % 2 = 0 THEN 'pipeline' ELSE 'standalone' END AS mode FROM events",
     "intent_routing": f"WITH r(intent, model, temperature, num_ctx) AS (VALUES {_sql(ROUTES)}) SELECT coalesce(r.model, '{DEFAULT_MODEL}') AS model, count(*) AS n, count(DISTINCT user_id) AS clients FROM events e LEFT JOIN r ON r.intent = e.event_type GROUP BY 1",
     "request_histogram": f"{_HIST} SELECT * FROM hist",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import STOP_WORDS
@@ -64,6 +65,18 @@ def sse_chunks(spark, sf_dir):
     return prompts.chunks(answers, ["conv_id", "turn"])
 
 
+def history_flatten(spark, sf_dir):
+    """A conversation's user messages, but the last, with the answer that follows at once;
+    the last is the new message."""
+    next_turn = Window.partitionBy("conv_id").orderBy("turn")
+    answer = F.when(F.lead("role").over(next_turn) == "assistant", F.lead("text").over(next_turn))
+    users = table(spark, sf_dir, "conversations").withColumn("answer", answer).filter("role = 'user'")
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("user"), F.col("answer").alias("assistant"))))
+    chats = users.groupBy("conv_id").agg(turns.alias("turns"))
+    chats = chats.select("conv_id", F.slice("turns", F.lit(1), F.size("turns") - 1).alias("history"), F.element_at("turns", -1)["user"].alias("message"))
+    return prompts.flattened(chats, "conv_id")
+
+
 def response_envelope(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     r = e.select(F.concat(F.lit("r-"), F.col("event_id")).alias("request_id"), F.lit("m").alias("model"), F.col("event_type").alias("text"), (F.col("event_id") % 100).alias("tokens"), (F.col("event_id") % 37).cast("double").alias("tok_s"), (F.col("event_id") % 2).cast("double").alias("ar"), (F.col("event_id") % 11).cast("double").alias("time_s"))
@@ -74,9 +87,13 @@ _ENVELOPE = """SELECT 'r-' || event_id AS request_id,
  '{"id":"r-' || event_id || '","object":"chat.completion","model":"m","choices":[{"index":0,"message":{"role":"assistant","content":"' || event_type || '"},"finish_reason":"stop"}],"usage":{"completion_tokens":' || (event_id % 100) || '},"timing":{"tok_s":' || (event_id % 37) || '.0,' || CASE WHEN event_id % 2 = 0 THEN '' ELSE '"acceptance_rate":1.0,' END || '"time_s":' || (event_id % 11) || '.0}}' AS body
 FROM events"""
 
-QUERIES = {f.__name__: f for f in (loop_match_counts, loop_detect_posthoc, loop_stop_first, loop_warn_all, line_jaccard_adjacent, prompt_assembly_roles, prompt_assembly_plain, no_think_suffix, content_length, sse_chunks, response_envelope)}
+QUERIES = {f.__name__: f for f in (loop_match_counts, loop_detect_posthoc, loop_stop_first, loop_warn_all, line_jaccard_adjacent, prompt_assembly_roles, prompt_assembly_plain, no_think_suffix, content_length, sse_chunks, response_envelope, history_flatten)}
 
 ORACLE_SQL = {
+    "history_flatten": """WITH c AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ u AS (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS newest FROM c WHERE role = 'user'),
+ m AS (SELECT conv_id, turn, 0 AS k, 'user' AS role, text AS content FROM u UNION ALL SELECT conv_id, turn, 1, 'assistant', next_text FROM u WHERE NOT newest AND next_role = 'assistant' AND coalesce(next_text, '') <> '')
+ SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::INT AS idx, role, content FROM m""",
     "loop_match_counts": f"WITH {_LINES} SELECT doc_id, pos, match_count FROM m",
     "loop_detect_posthoc": f"WITH {_LINES}, f AS (SELECT doc_id, min(pos) AS first_pos, arg_min(line, pos) AS first_line, count(*) AS n_hits FROM h GROUP BY doc_id) SELECT d.doc_id, f.first_pos IS NOT NULL AS loop, f.first_pos, f.first_line, coalesce(f.n_hits, 0) AS n_hits FROM documents d LEFT JOIN f USING (doc_id)",
     "loop_stop_first": f"WITH {_LINES} SELECT doc_id, min(pos) AS pos, arg_min(line, pos) AS line, 3 AS threshold, 'stop' AS action FROM h GROUP BY doc_id",

@@ -67,3 +67,38 @@ def write_csv(df: DataFrame, path: str, decimals: dict[str, int]) -> None:
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_audit(df: DataFrame, path: str) -> None:
+    """Appends rows as lines of JSON, below a folder for each day of their `ts`."""
+    df.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
+
+
+def requests_of(lines: DataFrame, schema: str, column: str = "body") -> DataFrame:
+    """lines with request (a struct of the schema, null where the body is no such JSON) and valid_json."""
+    return lines.withColumn("request", F.from_json(column, schema)).withColumn("valid_json", F.expr(f"try_parse_json(`{column}`) IS NOT NULL"))
+
+
+def tensor_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """file, tensor, dtype, shape, start, nbytes of the safetensors files in a folder. Only
+    their headers are read: eight bytes that give a length, and JSON of that length."""
+    import json
+
+    jvm, rows = spark.sparkContext._jvm, []
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(where) if fs.exists(where) else ():
+        name = status.getPath().getName()
+        if not name.endswith(".safetensors"):
+            continue
+        stream = fs.open(status.getPath())
+        try:
+            size = int.from_bytes(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, 8)), "little")
+            header = json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size)))
+        finally:
+            stream.close()
+        for tensor, about in header.items():
+            if tensor != "__metadata__":
+                start, end = about["data_offsets"]
+                rows.append((name, tensor, about["dtype"], [int(n) for n in about["shape"]], 8 + size + start, end - start))
+    return spark.createDataFrame(rows, "file string, tensor string, dtype string, shape array<long>, start long, nbytes long")
