@@ -46,13 +46,18 @@ def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], finis
     which joins most of a large group at the cost of its size. Then finish gets the rows
     (key, v, x, comp) of the keys that still have several components, and gives links
     (a, b) that connect all that are linked, so no link between components is lost."""
-    labels = edges = tested = None
+    labels = tested = None
 
     def labelled() -> DataFrame:
         if labels is None:
             return postings.withColumn("comp", F.col("v"))
         return postings.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
+    def joined(links: DataFrame) -> DataFrame:
+        """The components with the links added: those so far are stars of few rounds."""
+        known = None if labels is None else labels.select(F.col("v").alias("a"), F.col("comp").alias("b"))
+        return components(links if known is None else links.unionByName(known))
+
     about = ["v", "comp"] + ["x"] * (near is not None)
     for k in range(rounds):
         p = labelled()
@@ -67,16 +72,12 @@ def linked(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], finis
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = stored(confirm(pairs).select("a", "b"), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        labels = components(edges)
+        labels = joined(stored(confirm(pairs).select("a", "b"), "links"))
     p = labelled()
     keys = p.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     open_ = stored(p.join(keys, "key"), "open")
     if not open_.isEmpty():
-        links = stored(finish(open_).select("a", "b"), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        labels = components(edges) if labels is None else components(links.unionByName(labels.select(F.col("v").alias("a"), F.col("comp").alias("b"))))
+        labels = joined(stored(finish(open_).select("a", "b"), "links"))
     if labels is None:
         return postings.select("v", F.col("v").alias("comp")).limit(0)
     return labels
