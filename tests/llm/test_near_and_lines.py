@@ -228,3 +228,32 @@ def test_columns_of_any_name(spark):
     assert sorted((str(r["doc_id"]), str(r["text"]), r["n_lines_"], r["n_dropped_"]) for r in rows) == [("1", f"{LINE}\nx", 2, 0), ("2", "y", 2, 1), ("2", "y", 2, 1), ("None", "None", 0, 0)]
     kept = common.joined_ids(docs, docs.filter("doc_id = 2").select("doc_id").distinct(), "left_anti").collect()
     assert len(kept) == 2 and near_duplicates.grouped(docs).count() == 4  # a null doc_id joins nothing
+
+
+def test_lines_around_the_bands_kinds(spark):
+    """Near copies whose lengths lie about LONG and LONG over the similarity, of words with
+    and without a sampled first letter, and with words longer than a shingle."""
+    rng, texts, pairs = random.Random(8), [], 0
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "bcdfg"):
+        for top in [150, 160, 170, 220, 230, 300] * 20:
+            line = []
+            while len(" ".join(line)) < top:
+                line.append("".join(rng.choices(letters, k=rng.choice([3, 5, 7, 30]))))
+            at = rng.randrange(len(line) // 2)
+            other = [*line[:at], *line[at + 1 :], *["abc xyz"] * rng.randrange(2)]
+            sets = [shingled(" ".join(s)) for s in (line, other)]
+            if len(sets[0] & sets[1]) >= 0.7 * len(sets[0] | sets[1]):
+                pairs += 1
+                texts += [" ".join(line), " ".join(other)]
+    got = sum(r["n_dropped"] for r in lines.deduplicated(frame(spark, list(enumerate(texts)))).collect())
+    assert pairs > 100 and got >= 0.98 * pairs
+
+
+def test_lines_with_a_passage_in_common_are_not_compared_in_pairs(spark):
+    """Lines that share one shingle with many, and little else, leave before any pair is made."""
+    shared = spark.createDataFrame([(1, v) for v in range(200)] + [(2, 300), (2, 301)], "key long, v long")
+    rng = random.Random(1)
+    own = {v: sorted({7, *(rng.getrandbits(60) for _ in range(15))}) for v in range(200)}
+    own |= {300: list(range(10, 26)), 301: list(range(14, 30))}
+    sketches = spark.createDataFrame([(v, (s, 40)) for v, s in own.items()], "v long, x struct<s: array<long>, n: int>")
+    assert {r["v"] for r in lines.likely(shared, sketches, 0.7).collect()} == {300, 301}
