@@ -111,7 +111,7 @@ def quantized_linear(spark, sf_dir):
 
 def final_head_topk(spark, sf_dir):
     x = _embeddings(spark, sf_dir).select("vec_id", V.rms_norm(_x(), _ramp("0.1D")).alias("x"))
-    logits = transformer.linear(x, _weights(spark, sf_dir), "vec_id").select("vec_id", F.col("out").alias("tok"), F.round("val", 6).alias("logit"))
+    logits = transformer.linear(x, _weights(spark, sf_dir), "vec_id", top=3).select("vec_id", F.col("out").alias("tok"), F.round("val", 6).alias("logit"))
     return selection.top_k(logits, 3)
 
 
