@@ -257,3 +257,10 @@ def test_lines_with_a_passage_in_common_are_not_compared_in_pairs(spark):
     own |= {300: list(range(10, 26)), 301: list(range(14, 30))}
     sketches = spark.createDataFrame([(v, (s, 40)) for v, s in own.items()], "v long, x struct<s: array<long>, n: int>")
     assert {r["v"] for r in lines.likely(shared, sketches, 0.7).collect()} == {300, 301}
+
+
+def test_shared_bands_are_found_without_sorting_all(spark, monkeypatch):
+    signed = spark.createDataFrame([(1, [5, 6]), (1, [5, 6]), (2, [6, 7]), (3, [8]), (3, [8]), (4, [6, 9]), (5, None)], "v long, bands array<long>")
+    assert sorted(map(tuple, lines.shared_bands(signed).collect())) == [(6, 1), (6, 2), (6, 4)]
+    monkeypatch.setattr(lines, "stored", lambda df, name: df)
+    assert "Window" not in lines.shared_bands(signed)._jdf.queryExecution().optimizedPlan().toString()
