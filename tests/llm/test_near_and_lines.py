@@ -264,3 +264,20 @@ def test_shared_bands_are_found_without_sorting_all(spark, monkeypatch):
     assert sorted(map(tuple, lines.shared_bands(signed).collect())) == [(6, 1), (6, 2), (6, 4)]
     monkeypatch.setattr(lines, "stored", lambda df, name: df)
     assert "Window" not in lines.shared_bands(signed)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_alone_in_a_band_are_compared_in_all_pairs(spark):
+    """Bands of two and three lines give their pairs, those of more stay rows; extreme hashes."""
+    lo, hi = -(1 << 63), (1 << 63) - 1
+    keys = {1: [5, lo], 2: [lo, 7, hi], 3: [7, hi], 4: [1, 2, 3, 4]}
+    shared = spark.createDataFrame([(k, v) for k, vs in keys.items() for v in vs], "key long, v long")
+    pairs, many = lines.few_and_many(shared)
+    assert sorted(map(tuple, pairs.collect())) == [(lo, 5), (lo, 7), (lo, hi), (7, hi)]
+    assert sorted(map(tuple, many.select("key", "v").collect())) == [(4, v) for v in keys[4]]
+
+
+def test_known_links_hold_where_no_key_is_shared(spark):
+    postings = spark.createDataFrame([], "key long, v long")
+    known = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    found = linking.linked(postings, lambda pairs: pairs, lambda rows: rows.select("v", "v").toDF("a", "b"), known=known)
+    assert {r["v"]: r["comp"] for r in found.collect()} == {1: 1, 2: 1, 3: 1}
