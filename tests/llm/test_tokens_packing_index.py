@@ -193,3 +193,13 @@ def test_windows_are_the_phrases_of_each_text(spark):
             want.setdefault(p, set()).add(i)
     got = {tuple(w.encode() for w in r["phrase"]): set(r["who"]) for r in decontaminate.windows(items.filter("item_text IS NOT NULL"), 13).collect()}
     assert got == want
+
+
+def test_one_block_of_phrases_takes_one_python_worker_a_task(spark):
+    """Nothing is united then: the search gives n_hit, and no second function runs in its tasks."""
+    docs = spark.createDataFrame([(1, "a b c x a b c b c"), (2, "x"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c"), (2, "b c x")], "item_id long, text string")
+    one, many = (decontaminate.contamination(docs, bench, window=2, block_phrases=n) for n in (1 << 20, 1))
+    assert "EvalPython" not in one._jdf.queryExecution().toString()
+    assert sorted(one.select("doc_id", "n_hit", "hits").collect()) == sorted(many.select("doc_id", "n_hit", "hits").collect())
+    assert {r["doc_id"]: r["n_hit"] for r in one.collect()} == {1: 9, 2: 0, 3: 0}
