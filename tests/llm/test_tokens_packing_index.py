@@ -203,3 +203,23 @@ def test_one_block_of_phrases_takes_one_python_worker_a_task(spark):
     assert "EvalPython" not in one._jdf.queryExecution().toString()
     assert sorted(one.select("doc_id", "n_hit", "hits").collect()) == sorted(many.select("doc_id", "n_hit", "hits").collect())
     assert {r["doc_id"]: r["n_hit"] for r in one.collect()} == {1: 9, 2: 0, 3: 0}
+
+
+def test_gaps_of_all_words_are_packed_at_once():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 1 << bits, rng.integers(1, 40)) for bits in (3, 8, 9, 16, 17, 31) for _ in range(20)]
+    words += [np.array([x]) for x in (0, 255, 256, 65_535, 65_536, (1 << 32) - 1)]
+    data, begin = decontaminate._narrow(np.concatenate(words), np.array([len(w) for w in words]))
+    for w, packed in zip(words, decontaminate._binaries(data, begin[:]).to_pylist(), strict=True):
+        width = 1 if w.max() < 1 << 8 else 2 if w.max() < 1 << 16 else 4
+        assert packed == bytes([width]) + w.astype(f"<u{width}").tobytes()
+        assert (decontaminate._places(packed) == np.cumsum(w)).all()
+    none, begin = decontaminate._narrow(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(none) == 0 and begin.tolist() == [0]
+
+
+def test_codes_are_ordered_by_their_halves():
+    rng = np.random.default_rng(6)
+    for most in (1, 300, 1 << 16, 1 << 20):
+        flat = rng.integers(0, most, 5000).astype(np.int32)
+        assert (decontaminate._by_code(flat) == np.argsort(flat, kind="stable")).all()
