@@ -5,11 +5,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("sparkloom.llm")
 import public_tokenizers
-from sparkloom.llm import decontaminate, packing, registry, repair
+from sparkloom.llm import decontaminate, packing, registry, repair, tokens
 from sparkloom.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -223,3 +224,15 @@ def test_codes_are_ordered_by_their_halves():
     for most in (1, 300, 1 << 16, 1 << 20):
         flat = rng.integers(0, most, 5000).astype(np.int32)
         assert (decontaminate._by_code(flat) == np.argsort(flat, kind="stable")).all()
+
+
+def test_op5_keeps_more_words_than_packing():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"]})
+    asked = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "encoder", lambda path, pieces=90_000: asked.append(pieces) or Encoder(path, pieces))
+        list(tokens.encoded([batch], path))
+        list(tokens.encoded([batch], path, pieces=repair.PIECES))
+    assert asked == [90_000, 300_000]
+    assert tokens.encoder(path, 123).memo.most == 123 and tokens.encoder(path).memo.most == 90_000
