@@ -31,6 +31,33 @@ def test_memo_encodes_as_the_library(name):
         assert e.encode(texts) == want
 
 
+def test_table_cuts_and_encodes_as_the_library(monkeypatch):
+    """Texts of all kinds of characters side by side, with a table that begins anew and one that doesn't."""
+    rng = np.random.default_rng(6)
+    kinds = ["a", "s", "t", "re", "ve", "m", "ll", "d", "'", "'s", "'re", " ", "  ", "\n", "\t", "\r", "é", "×", "÷", "ª", "²", "1", "9", ".", "--", "—", "€", "x" * 30, "Zebra", "\xad"]
+    texts = ["".join(rng.choice(kinds, n)) for n in rng.integers(0, 30, 3000)] + [t or "" for t in ODD]
+    whole = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = whole.direct(texts)
+    monkeypatch.setattr(Encoder, "MANY", 5000)
+    for e in (whole, Encoder(public_tokenizers.path("byte_bpe_50k.json"), pieces=20)):
+        assert e.encode(texts) == want and e.encode(texts[::-1]) == want[::-1]
+    monkeypatch.setattr(Encoder, "LONG", 10)
+    assert whole.encode(texts) == want
+
+
+def test_new_words_go_to_the_library_together():
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, learn = [], e.table.learn
+    e.table.learn = lambda pieces: asked.append(len(pieces)) or learn(pieces)
+    texts = [" ".join(f"w{k:x}q" for k in range(i, i + 500)) for i in range(10)]
+    assert e.encode(texts) == e.direct(texts) and e.encode(texts) == e.direct(texts) and len(asked) == 1
+    assert _fits(merges=[["Ā", "a"]]) is False and _fits(ignore_merges=True) is False and _fits() is True
+
+
+def _fits(**model):
+    return tokens._Table.fits({"model": {"vocab": dict.fromkeys(tokens._BYTES.values()), "merges": [["a", "b"]], **model}})
+
+
 def ids_of(text, name):
     from tokenizers import Tokenizer
 
