@@ -159,6 +159,25 @@ def brute_lines(docs, similarity=0.7, min_chars=20):
     return {places[k] for k in range(len(sets)) if root(k) != k}
 
 
+def test_shingles_step_over_what_has_none():
+    """The pattern finds what each place tried alone finds, characters beyond 16 bits
+    included, and takes each word without shingles inside it in one step."""
+    rng = random.Random(4)
+    lines_ = ["".join(rng.choices(["a", "b", "-", " ", "  ", "\t", "é", "\U0001f600", "x" * 11, "y" * 12, "z" * 13, "q" * 40], k=rng.randrange(1, 30))).strip() for _ in range(500)]
+    for gram, least in ((12, 1), (24, 24)):
+        pattern = re.compile(lines.shingle_pattern(gram, least))
+        for line in lines_:
+            want = {line[i : i + gram] for i in range(len(line)) if not line[i].isspace() and (i == 0 or line[i - 1].isspace()) and len(line) - i >= least}
+            want |= {w[i : i + gram] for w in line.split() for i in range(len(w) - gram + 1)}
+            assert {m[1] for m in pattern.finditer(line)} == want
+    assert [m.span() for m in re.finditer(lines.shingle_pattern(12, 1), "one two  three")] == [(0, 4), (4, 9), (9, 14)]
+
+
+def test_shingles_of_characters_beyond_16_bits(spark):
+    line = "\U0001f600" * 20
+    assert spark.createDataFrame([(line,)], "norm string").select(F.size(lines.shingles(F.col("norm"), 12))).first()[0] == len(shingled(line)) == 1
+
+
 def gone(docs):
     return {(r["doc_id"], p) for r in lines.dropped(docs).collect() for p in r["drop"]}
 
