@@ -300,3 +300,10 @@ def test_known_links_hold_where_no_key_is_shared(spark):
     known = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     found = linking.linked(postings, lambda pairs: pairs, lambda rows: rows.select("v", "v").toDF("a", "b"), known=known)
     assert {r["v"]: r["comp"] for r in found.collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_sampled_starts_are_a_table_and_not_ranges():
+    """The class has each character by itself, and is the one of the ranges before."""
+    assert "-" not in lines._START
+    now, before = re.compile(lines._START), re.compile("[^b-df-hj-np-tv-z ]")
+    assert all(bool(now.match(chr(c))) == bool(before.match(chr(c))) for c in range(0x20000))
